@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing
+from tessera.llm import langid, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_compression_toxicity": toxicity.query,
+        "op7_bayes_language": langid.query,
         "op8_power_of_two_packing": packing.query,
     }
 
