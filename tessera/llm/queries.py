@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, packing, toxicity
+from tessera.llm import langid, line_dedup, packing, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
+        "op1_line_chunks": line_dedup.query,
         "op4_compression_toxicity": toxicity.query,
         "op7_bayes_language": langid.query,
         "op8_power_of_two_packing": packing.query,
+        "op10_url_association_rules": url_rules.query,
     }
 
 

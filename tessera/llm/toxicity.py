@@ -10,7 +10,8 @@ A random toxic document differs from an ordinary one in a few words, and a dicti
 its bytes on words that both classes have. So the training windows of the toxic class are single words and beginnings of
 words, those whose document frequency among toxic documents is at least ``lift`` times that among ordinary ones. Near copies among the
 training documents would make their own rare words look distinctive: a document that shares one of four minima of hashed
-word triples with an earlier one is left out of the fit.
+word triples with an earlier one is left out of the fit. The trained toxic
+dictionary is followed by each of those units once, as the trainer cuts its segments across them.
 
 Only the fit is bounded: at most ``max_rows`` labelled documents of either class, of at most ``max_chars`` characters, in
 the order of a hash of their text. Scoring covers whole texts. Defined results: a null or empty text has no window, and
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
-WINDOW, LEVEL, STEPS = 8, 9, 6
+WINDOW, LEVEL, STEPS = 12, 9, 6
 
 
 def _words(text: str) -> list[str]:
@@ -138,7 +139,9 @@ def fit_texts(ordinary_texts: list[str], toxic_texts: list[str], share: float, l
     if not marks:
         return Model()
     ordinary = _train_dictionary(64 << 10, [w for t in learn[0] for w in _windows(t, WINDOW)], 24, 6)
-    toxic = _train_dictionary(4 << 10, [u.encode() for t in learn[1] for w in t for u in _units(w) if u in marks], 16, 6)
+    found = [u.encode() for t in learn[1] for w in t for u in _units(w) if u in marks]
+    by_count = sorted(Counter(found).items(), key=lambda c: (c[1], c[0]))
+    toxic = _train_dictionary(4 << 10, found, 16, 6) + b"".join(u for u, _ in by_count)[-(4 << 10) :]
     plain, other = _compressor(ordinary), _compressor(toxic + ordinary)
     x = np.array([_features(t, plain, other) for y in (0, 1) for t in held[y]])
     y = np.array([y for y in (0, 1) for _ in held[y]], dtype=float)
