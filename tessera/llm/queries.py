@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, line_dedup, packing, set_join, toxicity, url_rules
+from tessera.llm import decontamination, langid, line_dedup, packing, set_join, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_line_chunks": line_dedup.query,
         "op4_compression_toxicity": toxicity.query,
+        "op5_spaced_seed_decontamination": decontamination.query,
         "op6_size_aware_jaccard": set_join.query,
         "op7_bayes_language": langid.query,
         "op8_power_of_two_packing": packing.query,
