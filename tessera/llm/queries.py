@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, langid, line_dedup, packing, set_join, toxicity, url_rules
+from tessera.llm import chat, decontamination, langid, line_dedup, packing, secrets, set_join, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_line_chunks": line_dedup.query,
+        "op2_snapshot_collapse": chat.query,
+        "op3_forest_secrets": secrets.query,
         "op4_compression_toxicity": toxicity.query,
         "op5_spaced_seed_decontamination": decontamination.query,
         "op6_size_aware_jaccard": set_join.query,
@@ -18,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_snapshot_collapse": chat.SQL}
