@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontamination, langid, line_dedup, packing, secrets, set_join, toxicity, url_rules
+from tessera.llm import chat, decontamination, itq, langid, line_dedup, packing, secrets, set_join, toxicity, url_rules
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_size_aware_jaccard": set_join.query,
         "op7_bayes_language": langid.query,
         "op8_power_of_two_packing": packing.query,
+        "op9_itq_near_duplicates": itq.query,
         "op10_url_association_rules": url_rules.query,
     }
 
