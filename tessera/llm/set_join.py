@@ -5,8 +5,9 @@ Two sets of sizes s and t have a Jaccard similarity of at least 4/5 only if they
 * Light sets (size up to a boundary) enumerate their subsets of each size c that some partner asks for, so two that
   link meet in at least one list, and little else meets there.
 * Heavy sets are entered in the inverted lists of the first s - ceil(4 s / 5) + 1 of their members in one global order.
-  Two linked sets share a member there whatever the order is; members known to be frequent come last in it, so that a
-  passage of many documents opens no list for a document that has other members.
+  Two linked sets share a member there whatever the order is, and one that is among the smaller set's first ninth. The
+  order is by hash, but the members that were counted and are frequent come after those that were counted and are not, so
+  that a passage of many documents opens no list for a document that has other members.
 * The boundary is the size up to which enumerating costs less than scanning, from the sizes and list lengths counted
   over all documents. Light sets near the boundary are entered in both.
 
@@ -16,8 +17,8 @@ component, and only lists with several are expanded, across components, and only
 list entries still allows. Should that be many pairs, more members take a turn as the first. Verification reads whole
 texts. All links between different components are found, so the components are exact; links inside of one need not be.
 
-The set of frequent members is chosen from counts that every partition makes of its own members (those it has seen more
-than once) and that are then summed; it has at most ``MAX_FREQUENT`` members at any input size. It only sets the order.
+The set of frequent members is chosen from counts over all documents, and has at most ``MAX_FREQUENT`` members at any
+input size, the most frequent ones. It only sets the order.
 
 Members and sets are named by 64-bit hashes. Defined results: a null text, an empty one or one without words has size 0 and
 is its own component; a null doc_id
@@ -40,10 +41,13 @@ from pyspark.sql import functions as F
 from tessera.llm import shingles
 from tessera.llm.common import Scratch, checkpointed, components
 
-MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 500_000, 24, 16
+MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 500_000, 12, 16
 #: Pairs up to which a broadcast of their names (16 bytes each) replaces a shuffle of all texts.
 BROADCAST_PAIRS = 500_000
 LEAST_ID = -(1 << 63)
+LIGHT, SHORT, COMMON = 1, 2, 4
+#: Members are counted up to this hash: a quarter of all, a little more than large sets enter.
+COUNTED = np.uint64(1 << 62)
 _U = np.uint64
 
 
@@ -76,11 +80,10 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: member, times seen in a partition; 1: set size, sets; 2: document, its size, its set."""
+    """Rows of kind 1: set size, sets of a partition; 2: document, its size, its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        members: list[np.ndarray] = []
         sizes: dict[int, int] = {}
         for batch in batches:
             names, lens = [], []
@@ -88,16 +91,11 @@ def _stats(docs: DataFrame) -> DataFrame:
                 name = shingles.set_id(x) if len(x) else 0
                 names.append(name)
                 lens.append(len(x))
-                if len(x) and name not in seen:
+                if 0 < len(x) <= MAX_LIGHT and name not in seen:
                     seen.add(name)
-                    members.append(x[: prefix(len(x)) * 5 // 4 + 1])
                     sizes[len(x)] = sizes.get(len(x), 0) + 1
             yield rows(2, batch.column(0), lens, names)
-        if members:
-            keys, counts = np.unique(np.concatenate(members), return_counts=True)
-            again = counts > 1
-            yield rows(0, pa.array(keys[again].view(np.int64)), counts[again], np.zeros(int(again.sum()), np.int64))
-            yield rows(1, pa.array(list(sizes), pa.int64()), list(sizes.values()), [0] * len(sizes))
+        yield rows(1, pa.array(list(sizes), pa.int64()), list(sizes.values()), [0] * len(sizes))
 
     def rows(kind: int, key: pa.Array, n, sid) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), key.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["kind", "key", "n", "sid"])
@@ -105,10 +103,30 @@ def _stats(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, n long, sid long")
 
 
+def _member_counts(docs: DataFrame) -> DataFrame:
+    """(key, n): the members below COUNTED and the number of sets that have them (repeats of a set count once in a partition)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            members = []
+            for x in shingles.sets(batch.column(1)):
+                name = shingles.set_id(x) if len(x) else 0
+                if len(x) and name not in seen:
+                    seen.add(name)
+                    members.append(x[: np.searchsorted(x, COUNTED)])
+            if members:
+                keys, counts = np.unique(np.concatenate(members), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], names=["key", "n"])
+
+    return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
-    """(token, sid, n, p): the list entries of every set; p is 0 for a subset and else the number of members entered."""
+    """(token, sid, n, info): the list entries of every set. info has the flags LIGHT (the token is a subset), SHORT (a
+    partner of at least this size shares one of these) and COMMON (a frequent member), and 8 times the set's COMMON entries."""
 
-    def tokens(x: np.ndarray, last: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    def tokens(x: np.ndarray, last: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(x)
         if n <= light:
             found = []
@@ -118,20 +136,29 @@ def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
                 for k in range(c):
                     h = shingles.mix(h * _U(0xD6E8FEB86659FD93) + x[at[:, k]])
                 found.append(h)
-            yield np.concatenate(found), 0
+            found = np.concatenate(found)
+            yield found, np.full(len(found), LIGHT | SHORT, dtype=np.int32)
         if 5 * n >= 4 * (light + 1):
             p = prefix(n)
-            common = maybe[x & _U(len(maybe) - 1)]
+            zone = int(np.searchsorted(x, COUNTED))
+            common = maybe[x[:zone] & _U(len(maybe) - 1)]
             at = np.flatnonzero(common)
             common[at] = last[np.minimum(np.searchsorted(last, x[at]), len(last) - 1)] == x[at]
-            yield (x[:p] if not common[:p].any() else np.concatenate([x[~common], x[common]])[:p]), p
+            info = np.zeros(p, dtype=np.int32)
+            info[: n - (8 * n + 8) // 9 + 1] |= SHORT
+            lead = zone - int(common.sum())
+            few = max(0, min(p, zone) - lead)
+            if few:
+                info[lead : lead + few] |= COMMON
+                info += 8 * few
+            yield (x[:p] if lead == zone else np.concatenate([x[:zone][~common], x[:zone][common], x[zone:]])[:p]), info
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, maybe = frequent.value, np.zeros(1 << 22, dtype=bool)
         maybe[last & _U(len(maybe) - 1)] = True
         seen: set[int] = set()
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
             held = 0
             for x in shingles.sets(batch.column(1)):
                 if not len(x):
@@ -140,8 +167,8 @@ def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
                 if name in seen:
                     continue
                 seen.add(name)
-                for h, p in tokens(x, last, maybe):
-                    out.append((h, name, len(x), p))
+                for h, info in tokens(x, last, maybe):
+                    out.append((h, name, len(x), info))
                     held += len(h)
                 if held > 200_000:
                     yield rows(out)
@@ -149,56 +176,61 @@ def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
             if out:
                 yield rows(out)
 
-    def rows(out: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+    def rows(out: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
         lens = [len(o[0]) for o in out]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), *(pa.array(np.repeat(np.array([o[k] for o in out], dtype=t), lens)) for k, t in ((1, np.int64), (2, np.int32), (3, np.int32)))], names=["token", "sid", "n", "p"])
+        names, sizes = (np.repeat(np.array([o[k] for o in out], dtype=t), lens) for k, t in ((1, np.int64), (2, np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(names), pa.array(sizes), pa.array(np.concatenate([o[3] for o in out]))], names=["token", "sid", "n", "info"])
 
-    return docs.mapInArrow(run, "token long, sid long, n int, p int")
+    return docs.mapInArrow(run, "token long, sid long, n int, info int")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """The entries of lists with several sets, each with the list's first set and its size. A list streams through its
-    task in order; of what came before, only the first and the last entry are held."""
+    """The entries of lists with several sets, each with the list's first entry. A list streams through its task in
+    order; of what came before, only the first and the last entry are held."""
+    names = ["token", "sid", "n", "info"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (token, sid, n, p, first sid, first n, whether it is out)
+        held = None  # (last entry, (sid, n, info) of the first entry of its list, whether the last entry is out)
         for batch in batches:
-            token, sid, n, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            if not len(token):
+            x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            if not len(x[0]):
                 continue
             if held:
-                token, sid, n, p = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held, (token, sid, n, p), strict=False))
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-            out = np.zeros(len(token), dtype=bool)
-            out[0] = bool(held and held[6])
-            token, sid, n, p, out = token[new], sid[new], n[new], p[new], out[new]
-            start = np.concatenate([[True], token[1:] != token[:-1]])
-            group = np.cumsum(start) - 1
-            at = np.flatnonzero(start)
-            first, first_n = sid[at], n[at]
-            if held:
-                first[0], first_n[0] = held[4], held[5]
+                x = [np.concatenate([np.array([h], dtype=c.dtype), c]) for h, c in zip(held[0], x, strict=True)]
+            new = np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
+            x = [c[new] for c in x]
+            out = np.zeros(len(x[0]), dtype=bool)
+            out[0] = bool(held and held[2])
+            start = np.concatenate([[True], x[0][1:] != x[0][:-1]])
+            group, at = np.cumsum(start) - 1, np.flatnonzero(start)
+            first = [x[k][at] for k in (1, 2, 3)]
             several = np.bincount(group) > 1
-            several[0] |= bool(held and held[6])
+            if held:
+                for f, value in zip(first, held[1], strict=True):
+                    f[0] = value
+                several[0] |= held[2]
             emit = several[group] & ~out
-            held = (token[-1], sid[-1], n[-1], p[-1], first[-1], first_n[-1], bool(several[-1]))
+            held = ([c[-1] for c in x], [f[-1] for f in first], bool(several[-1]))
             if emit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[emit]) for x in (token, sid, n, p, first[group], first_n[group])], names=["token", "sid", "n", "p", "first", "first_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in (*x, *(f[group] for f in first))], names=[*names, "first", "first_n", "first_info"])
 
-    ordered = entries.repartition("token").sortWithinPartitions("token", "sid")
-    return ordered.mapInArrow(run, "token long, sid long, n int, p int, first long, first_n int")
+    # The set with the most common members is the likeliest original of a group of copies, so it stands first.
+    ordered = entries.repartition("token").sortWithinPartitions("token", F.shiftright("info", 3).desc(), "sid")
+    return ordered.mapInArrow(run, "token long, sid long, n int, info int, first long, first_n int, first_info int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
     """The pairs (a, b) of sets that do link. The texts of b, packed, go to a; an a with many is split among tasks."""
     spark = docs.sparkSession
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select("a", F.ceil(F.col("k") / most).cast("int").alias("parts"))
-    to = pairs.join(sizes, "a").select(F.col("b").alias("sid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    own = sizes.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wanted = to.union(own).groupBy("sid").agg(F.collect_list(F.struct("a", "part")).alias("to")).join(nodes.select("sid", "rep"), "sid")
+    total = pairs.count()
+    bins = max(1, total // (2 * most))
+    place = lambda part: F.pmod(F.xxhash64("a", part), F.lit(bins)).cast("int").alias("bin")
+    to = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select(F.col("b").alias("sid"), "a", place(F.col("part")))
+    own = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("a").alias("sid"), "a", place(F.col("part"))).distinct()
+    wanted = to.union(own).groupBy("sid").agg(F.collect_list(F.struct("a", "bin")).alias("to")).join(nodes.select("sid", "rep"), "sid")
     wanted = wanted.select(F.col("rep").alias("doc"), "sid", "to")
-    few = pairs.count() <= BROADCAST_PAIRS
-    found = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("text", "sid", "to")
+    found = docs.join(F.broadcast(wanted) if total <= BROADCAST_PAIRS else wanted, "doc").select("text", "sid", "to")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -210,43 +242,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, most: int = 2
             for text, sid, targets in zip(batch["text"], batch["sid"], batch["to"], strict=True):
                 packed = press.compress(text.encode("utf-8", "surrogatepass"))
                 for t in targets:
-                    out.append((t["a"], t["part"], sid, packed))
+                    out.append((t["a"], t["bin"], sid, packed))
                     held += len(packed)
                     if held > 8 << 20:
-                        yield pd.DataFrame(out, columns=["a", "part", "sid", "packed"])
+                        yield pd.DataFrame(out, columns=["a", "bin", "sid", "packed"])
                         out, held = [], 0
             if out:
-                yield pd.DataFrame(out, columns=["a", "part", "sid", "packed"])
+                yield pd.DataFrame(out, columns=["a", "bin", "sid", "packed"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        a = group["a"].iloc[0]
         open_ = zstandard.ZstdDecompressor()
-        read = lambda packed: next(shingles.sets(pa.array([open_.decompress(packed)], pa.large_binary())))
-        own = next((x for x in map(read, group["packed"][group["sid"] == a]) if shingles.set_id(x) == a), None)
+        texts = {sid: packed for sid, packed in zip(group["sid"], group["packed"], strict=True)}
+        read = dict(zip(texts, shingles.sets(pa.array([open_.decompress(p) for p in texts.values()], pa.large_binary())), strict=True))
+        read = {sid: x for sid, x in read.items() if shingles.set_id(x) == sid}
         out = []
-        if own is not None:
-            rest = group[group["sid"] != a].drop_duplicates("sid")
-            for sid, packed in zip(rest["sid"], rest["packed"], strict=True):
-                x = read(packed)
-                if shingles.set_id(x) == sid:
-                    both = len(np.intersect1d(own, x, assume_unique=True))
-                    if 100 * both >= 80 * (len(own) + len(x) - both):
-                        out.append((a, sid))
+        for a, sid in set(zip(group["a"], group["sid"], strict=True)):
+            if a != sid and a in read and sid in read:
+                x, y = read[a], read[sid]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= 80 * (len(x) + len(y) - both):
+                    out.append((a, sid))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return found.mapInPandas(send, "a long, part int, sid long, packed binary").groupBy("a", "part").applyInPandas(compare, "a long, b long")
+    return found.mapInPandas(send, "a long, bin int, sid long, packed binary").groupBy("bin").applyInPandas(compare, "a long, b long")
 
 
-def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_turns: int = 6) -> DataFrame:
+def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_turns: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     stats = scratch.write(_stats(docs), "stats")
     sizes = {r["key"]: r["n"] for r in stats.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("key") <= MAX_LIGHT).collect()}
-    counts = scratch.write(stats.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_FROM), "counts")
+    counts = scratch.write(_member_counts(docs).filter(F.col("n") >= FREQUENT_FROM), "counts")
     by_power = sorted(((r["power"], r["k"], r["entries"]) for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("entries")).collect()), reverse=True)
     floor, total = 0, 0
     for power, k, _ in by_power:
@@ -262,40 +292,47 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lists = scratch.write(_lists(_entries(docs, spark.sparkContext.broadcast(frequent), light)), "lists")
     scratch.drop("counts")
 
-    near = lambda a, b: (5 * F.least(a, b) >= 4 * F.greatest(a, b))
-    pairs = lists.filter((F.col("first") != F.col("sid")) & near(F.col("first_n"), F.col("n"))).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+    has = lambda info, flag: F.col(info).bitwiseAND(F.lit(flag)) != 0
+
+    def may(a: str, b: str):
+        """Two entries of a list whose sizes allow a link, the smaller set's one being SHORT."""
+        n, m = F.col(a.format("n")), F.col(b.format("n"))
+        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & F.when(n <= m, has(a.format("info"), SHORT)).otherwise(has(b.format("info"), SHORT))
+
+    pairs = lists.filter((F.col("first") != F.col("sid")) & may("first_{}", "{}")).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
     tested = scratch.write(pairs, "pairs0")
     edges = scratch.write(_verified(tested, docs, nodes), "edges0")
     for turn in range(1, max_turns + 2):
         reached = components(edges).select(F.col("node").alias("sid"), "component")
-        here = lists.join(reached, "sid", "left").select("token", "sid", "n", "p", F.coalesce("component", "sid").alias("component"))
-        mixed = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-        open_ = scratch.write(here.join(mixed, "token", "left_semi"), f"open{turn}")
-        per = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        across, entries = per.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if across <= 20 * entries + 1_000_000 or turn > max_turns:
+        here = lists.join(reached, "sid", "left").select("token", "sid", "n", "info", F.coalesce("component", "sid").alias("component"))
+        per = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if(has("info", SHORT)).alias("short"), F.bool_or(has("info", COMMON)).alias("common"))
+        per = scratch.write(per.filter("lo <> hi and (short > 0 or not common)").select("token", "k", "short", "common"), f"mixed{turn}")
+        open_ = scratch.write(here.join(per.select("token"), "token", "left_semi"), f"open{turn}")
+        across, entries = per.agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("k") * F.col("short")).otherwise(F.col("k") * F.col("k") / 2)), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        if across <= 10 * entries + 1_000_000 or turn > max_turns:
             break
-        draw = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "component")
-        turns = open_.groupBy("token").agg(F.min(draw).alias("f"))
-        pairs = open_.join(turns, "token").filter((F.col("component") != F.col("f.component")) & near(F.col("f.n"), F.col("n")))
-        pairs = pairs.select(F.least("f.sid", "sid").alias("a"), F.greatest("f.sid", "sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        draw = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "info", "component")
+        turns = open_.groupBy("token").agg(F.min(F.when(has("info", SHORT), draw)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("sid", "n", "info", "component")])
+        pairs = open_.join(turns, "token").filter((F.col("component") != F.col("f_component")) & may("f_{}", "{}"))
+        pairs = pairs.select(F.least("f_sid", "sid").alias("a"), F.greatest("f_sid", "sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new = scratch.write(pairs, f"pairs{turn}")
         tested = tested.union(new)
         edges = edges.union(scratch.write(_verified(new, docs, nodes), f"edges{turn}"))
 
-    x, y = open_.alias("x"), open_.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
-    cols = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("n", "p")]
-    met = met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), *cols).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("met"), *[F.max(c).alias(c) for c in ("n_x", "n_y", "p_x", "p_y")], F.min(F.least("p_x", "p_y")).alias("least_p")
-    )
-    # Beyond the entered members, two sets share no more than the larger rest; a meeting in a subset decides nothing.
-    reach = F.col("met") + F.greatest(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
-    may = (F.col("least_p") == 0) | (9 * reach >= 4 * (F.col("n_x") + F.col("n_y")))
-    rest = scratch.write(met.filter(may).select("a", "b").join(tested, ["a", "b"], "left_anti"), "rest")
+    side = lambda c: open_.select("token", *[F.col(x).alias(f"{c}_{x}") for x in ("sid", "n", "info", "component")])
+    counted = ~has("x_info", COMMON) | may("x_{}", "y_{}")
+    sized = 5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")
+    met = side("x").join(side("y"), "token").filter((F.col("x_sid") < F.col("y_sid")) & (F.col("x_component") != F.col("y_component")) & sized & counted)
+    met = met.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), "x_n", "y_n", F.least("x_info", "y_info").alias("info"), may("x_{}", "y_{}").alias("may"))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("x_n").alias("n"), F.max("y_n").alias("m"), F.max(F.shiftright("info", 3)).alias("common"), F.bool_or("may").alias("may"), F.bool_or(has("info", LIGHT)).alias("light"))
+    # Beyond the entered members two sets share no more than the larger rest, and common ones need not have been counted.
+    first = lambda n: F.col(n) - F.floor((4 * F.col(n) + 4) / 5) + 1
+    reach = F.col("met") + F.col("common") + F.greatest(F.col("n") - first("n"), F.col("m") - first("m"))
+    wanted = met.filter(F.col("may") & (F.col("light") | (9 * reach >= 4 * (F.col("n") + F.col("m")))))
+    rest = scratch.write(wanted.select("a", "b").join(tested, ["a", "b"], "left_anti"), "rest")
     edges = scratch.write(edges.union(_verified(rest, docs, nodes)), "edges")
     reached = components(edges).select(F.col("node").alias("sid"), "component")
-    scratch.drop("lists", "pairs0", *(f"{what}{k}" for k in range(1, turn + 1) for what in ("open", "pairs", "edges")), "edges0", "rest")
+    scratch.drop("lists", "pairs0", *(f"{what}{k}" for k in range(1, turn + 1) for what in ("open", "mixed", "pairs", "edges")), "edges0", "rest")
 
     of = nodes.join(reached, "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -13,8 +13,8 @@ training documents would make their own rare words look distinctive: a document
 word triples with an earlier one is left out of the fit. The trained toxic
 dictionary is followed by each of those units once, as the trainer cuts its segments across them.
 
-Only the fit is bounded: at most ``max_rows`` labelled documents of either class, of at most ``max_chars`` characters, in
-the order of a hash of their text. Scoring covers whole texts. Defined results: a null or empty text has no window, and
+Only the fit is bounded: at most ``max_rows`` labelled documents of either class, without those of over ``max_chars``
+characters, in the order of a hash of their id. Scoring covers whole texts. Defined results: a null or empty text has no window, and
 gets the score of no evidence; without labelled rows of both classes every score is 0; repeated rows get equal scores.
 """
 
@@ -114,17 +114,20 @@ def _train_dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 20_000, lift: float = 10.0, least: float = 0.01) -> Model:
-    """Dictionaries from two thirds of the sample and the calibration from the rest, at the classes' true proportion."""
-    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 20_000, lift: float = 10.0, least: float = 0.01) -> Model:
+    """Dictionaries from two thirds of the sample and the calibration from the rest, at the classes' true proportion.
+
+    The sample is drawn among ``labels`` (id, label), in the order of a hash of the id; only its texts, whose ids fit in
+    a broadcast of fixed size, are read from ``docs``.
+    """
+    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Model()
-    sample = {}
-    for y in (0, 1):
-        found = rows.filter((F.col("y") == y) & (F.length("text") <= max_chars)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(max_rows).collect()
-        sample[y] = [r["text"] for r in found]
-    return fit_texts(sample[0], sample[1], counts[1] / (counts[0] + counts[1]), lift, least)
+    drawn = [rows.filter(F.col("y") == y).select("id", "y", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_rows) for y in (0, 1)]
+    texts = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = sorted((r["h"], r["text"], r["y"]) for r in texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").collect())
+    return fit_texts([t for _, t, y in found if y == 0], [t for _, t, y in found if y == 1], counts[1] / (counts[0] + counts[1]), lift, least)
 
 
 def fit_texts(ordinary_texts: list[str], toxic_texts: list[str], share: float, lift: float = 10.0, least: float = 0.01) -> Model:
@@ -183,5 +186,5 @@ def held_out(id_col: str = "doc_id"):
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit(docs.filter(~held_out()).select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, labels.filter(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
