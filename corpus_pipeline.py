@@ -16,8 +16,7 @@ from tessera.llm.common import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled documents outside of the held-out fifth."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    learn = docs.filter(~toxicity.held_out()).select("doc_id", "text").join(labels, "doc_id")
-    return toxicity.accepted(docs, toxicity.fit(learn))
+    return toxicity.accepted(docs, toxicity.fit(docs, labels.filter(~toxicity.held_out())))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
