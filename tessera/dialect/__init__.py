@@ -1,0 +1 @@
+"""Lexer, tree, parser and printer."""

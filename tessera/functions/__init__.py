@@ -1,0 +1 @@
+"""Expressions of the dialect as Columns."""

@@ -1,0 +1 @@
+"""Recovery passes as DataFrame operators."""

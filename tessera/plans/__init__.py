@@ -1,0 +1 @@
+"""SELECT to DataFrame, and the catalogue of queries."""

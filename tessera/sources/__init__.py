@@ -1,0 +1 @@
+"""Where statements come from."""

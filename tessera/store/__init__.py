@@ -1,0 +1 @@
+"""Versioned tables, their log and locks."""

@@ -1,16 +1 @@
-"""Following a table: the rows that commits add, as a stream."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-
-from tessera.engine import Engine
-from tessera.store.tables import schema_of
-
-
-def added_rows(engine: Engine, table: str) -> DataFrame:
-    """A streaming DataFrame of the files that transactions write for a table, those of aborted ones excepted once they
-    are deleted; for consumers that need only what is new. Removals and rewrites are not part of it."""
-    state = engine.need_store().table(table)
-    folder = engine.store.files.at(f"tables/{state.id}/rows-*")
-    return engine.spark.readStream.schema(schema_of(state.columns)).parquet(folder)
+"""No streams: every scan of the dialect is bounded, and tables are read by snapshot."""
