@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,41 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) for undirected ``edges`` (a, b), where component is the smallest node that can be reached.
+#: Edges (16 bytes each) up to which one task finds the components; beyond, rounds of joins do.
+ONE_TASK_EDGES = 500_000
+
 
-    Alternates the large-star and small-star steps: each keeps connectivity, and a forest of stars is reached in a
+def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, component) for undirected ``edges`` (a, b), where component is the smallest node that can be reached."""
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    if edges.count() <= ONE_TASK_EDGES:
+        return checkpointed(e.coalesce(1).mapInArrow(_forest, "node long, component long"))
+    return _by_stars(e, max_rounds)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 50_000):
+        part = nodes[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "component"])
+
+
+def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Alternates the large-star and small-star steps: each keeps connectivity, and a forest of stars is reached in a
     number of rounds that grows with the logarithm of the longest path. Every round is checkpointed, so that a lost
     executor costs one round; the loop ends when a round changes no edge. Hub nodes cost nothing extra: minima are
     combined before the shuffle, and joins on a hub are ordinary joins that adaptive execution can split.
@@ -65,7 +98,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         joined = down.join(low, "a")
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
 
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    e = checkpointed(edges.distinct())
     digest = None
     for _ in range(max_rounds):
         e = checkpointed(small_star(large_star(e)))

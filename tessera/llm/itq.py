@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned on a bounded sample so that the signs of the rotated, centred vectors are balanced bits that keep angles. A
-code is cut into substrings, and each substring is a table: two vectors meet where they have a label and a substring in
+A rotation is learned on a bounded sample so that the signs of the rotated unit vectors are bits that keep angles. (They are not
+centred first: around the mean of a large group of near copies, these would point everywhere.) A code is cut into substrings, and each substring is a table: two vectors meet where they have a label and a substring in
 common. As many tables are made as it takes (with further rotations, learned from other starts) for two vectors at the threshold angle to meet
 in one with a probability of at least ``recall``. What meets is compared with the original vectors in double precision, and linked if
 the cosine is at least the threshold.
@@ -31,11 +31,9 @@ from tessera.llm.common import Scratch, components
 BLOCK, TOGETHER = 1024, 8192
 
 
-def rotations(sample: np.ndarray, count: int, rounds: int = 50, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(mean, rotations): each minimises the distance between rotated unit vectors and their signs, from its own random start."""
+def rotations(x: np.ndarray, count: int, rounds: int = 50, seed: int = 11) -> list[np.ndarray]:
+    """Each minimises the distance between rotated unit vectors and their signs, from its own random start."""
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0)
-    x = sample - mean
     out = []
     for _ in range(count):
         r = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
@@ -43,24 +41,24 @@ def rotations(sample: np.ndarray, count: int, rounds: int = 50, seed: int = 11)
             u, _, v = np.linalg.svd(np.sign(x @ r).T @ x)
             r = (u @ v).T
         out.append(r)
-    return mean, out
+    return out
 
 
 def plan(rows: int, dimension: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits of a substring, number of tables): substrings as long as keeps the lists of ``rows`` short, tables as recall asks."""
-    bits = max(4, min(dimension, math.ceil(math.log2(max(rows, 2)))))
+    bits = min(dimension, max(4, math.ceil(math.log2(max(rows, 2)))))
     one = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
 
 
-def _keys(vectors: np.ndarray, mean: np.ndarray, turns: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
+def _keys(vectors: np.ndarray, turns: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """The table keys of the vectors, a column for each table."""
     per = vectors.shape[1] // bits
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     weights = np.int64(1) << np.arange(bits, dtype=np.int64)
     out = []
     for t in range(tables):
-        code = (unit - mean) @ turns[t // per][:, (t % per) * bits : (t % per + 1) * bits] > 0
+        code = unit @ turns[t // per][:, (t % per) * bits : (t % per + 1) * bits] > 0
         out.append(code @ weights)
     return np.stack(out, axis=1)
 
@@ -84,8 +82,8 @@ def links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         of = unique.filter(F.col("d") == d)
         bits, tables = plan(n, d, threshold, recall)
         drawn = np.array([r["v"] for r in of.orderBy(F.xxhash64("node"), "node").select("v").limit(sample).collect()])
-        mean, turns = rotations(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), -(-tables // (d // bits)))
-        met = _met(of, spark.sparkContext.broadcast((mean, turns, bits, tables)), threshold, scratch, d)
+        turns = rotations(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), -(-tables // (d // bits)))
+        met = _met(of, spark.sparkContext.broadcast((turns, bits, tables)), threshold, scratch, d)
         edges.append(met.filter("kind = 1").select("a", "b"))
         counts.append(met.filter("kind = 0").select("a", F.col("b").alias("k")))
     joined = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(joined(frames[1:]))
@@ -103,11 +101,11 @@ def _met(unique: DataFrame, model, threshold: float, scratch: Scratch, d: int) -
     """kind 0: (a, b) = a vector and how many rows it links with; kind 1: links that join what the block has linked."""
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mean, turns, bits, tables = model.value
+        turns, bits, tables = model.value
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at : at + 2048]
-                keys = _keys(np.stack(part["v"].to_numpy()).astype(float), mean, turns, bits, tables)
+                keys = _keys(np.stack(part["v"].to_numpy()).astype(float), turns, bits, tables)
                 yield pd.DataFrame({"label": np.repeat(part["label"].to_numpy(), tables), "turn": np.tile(np.arange(tables, dtype=np.int32), len(part)), "key": keys.ravel(), "node": np.repeat(part["node"].to_numpy(), tables)})
 
     entered = scratch.write(unique.select("label", "node", "v").mapInPandas(enter, "label long, turn int, key long, node long"), f"entered{d}")
@@ -126,11 +124,11 @@ def _met(unique: DataFrame, model, threshold: float, scratch: Scratch, d: int) -
         return pd.concat([one(group) for _, group in bin_.groupby(["label", "turn", "key"], sort=False)])
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        mean, turns, bits, tables = model.value
+        turns, bits, tables = model.value
         turn, i, j = group["turn"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
         nodes, weights = group["node"].to_numpy(), group["k"].to_numpy()
         v = np.stack(group["v"].to_numpy()).astype(float)
-        earlier = _keys(v, mean, turns, bits, int(turn)) if turn else None
+        earlier = _keys(v, turns, bits, int(turn)) if turn else None
         unit = v / np.linalg.norm(v, axis=1, keepdims=True)
         place = np.arange(len(group))
         left, right = (place, place) if i == j else (np.flatnonzero(group["block"] == i), np.flatnonzero(group["block"] == j))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tessera.llm import shingles
 from tessera.llm.common import Scratch, checkpointed, components
 
-MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 500_000, 12, 16
+MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 4_000_000, 6, 16
 #: Pairs up to which a broadcast of their names (16 bytes each) replaces a shuffle of all texts.
 BROADCAST_PAIRS = 500_000
 LEAST_ID = -(1 << 63)
@@ -284,7 +284,7 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if total > MAX_FREQUENT:
             floor = 1 << (power + 1)
             break
-    frequent = np.sort(np.array([r["key"] for r in counts.filter(F.col("n") >= floor).select("key").collect()], dtype=np.int64).view(_U))
+    frequent = np.sort(counts.filter(F.col("n") >= floor).select("key").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
     sets_, entries_of_frequent = sum(sizes.values()), sum(e for _, _, e in by_power)
     light = boundary(sizes, entries_of_frequent / max(1, sets_ + entries_of_frequent) + 1)
     rows = stats.filter("kind = 2").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "sid")
@@ -309,7 +309,7 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
         per = scratch.write(per.filter("lo <> hi and (short > 0 or not common)").select("token", "k", "short", "common"), f"mixed{turn}")
         open_ = scratch.write(here.join(per.select("token"), "token", "left_semi"), f"open{turn}")
         across, entries = per.agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("k") * F.col("short")).otherwise(F.col("k") * F.col("k") / 2)), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if across <= 10 * entries + 1_000_000 or turn > max_turns:
+        if across <= 20 * entries + 1_000_000 or turn > max_turns:
             break
         draw = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "info", "component")
         turns = open_.groupBy("token").agg(F.min(F.when(has("info", SHORT), draw)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("sid", "n", "info", "component")])
