@@ -1,0 +1 @@
+"""Operators for preparing training data. Nothing else in the library imports them."""
