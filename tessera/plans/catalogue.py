@@ -105,7 +105,8 @@ def script(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
 def _copied(spark: SparkSession, sf_dir: str, table: str) -> Engine:
     """An engine whose folder has a table with the rows of a registered one."""
     engine = open_engine(spark, sf_dir, folder=True)
-    rows = engine.views.pop(table)
+    rows = engine.read(table)
+    del engine.views[table]
     kinds = {"int": "INT", "bigint": "INT", "string": "VARCHAR(200)", "double": "FLOAT"}
     engine.execute(f"CREATE TABLE {table} ({', '.join(f'{f.name} {kinds[f.dataType.simpleString()]}' + (' PRIMARY KEY' if k == 0 else '') for k, f in enumerate(rows.schema.fields))})")
     engine.append(table, rows)
