@@ -44,6 +44,8 @@ from tessera.llm.common import Scratch, checkpointed, components
 MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 4_000_000, 6, 16
 #: Pairs up to which a broadcast of their names (16 bytes each) replaces a shuffle of all texts.
 BROADCAST_PAIRS = 500_000
+#: Rows for each list entry, and in all, up to which lists are expanded at once; beyond, more members take a turn first.
+EXPANDED, EXPANDED_ANYWAY = 200, 1_000_000
 LEAST_ID = -(1 << 63)
 LIGHT, SHORT, COMMON = 1, 2, 4
 #: Members are counted up to this hash: a quarter of all, a little more than large sets enter.
@@ -309,7 +311,7 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
         per = scratch.write(per.filter("lo <> hi and (short > 0 or not common)").select("token", "k", "short", "common"), f"mixed{turn}")
         open_ = scratch.write(here.join(per.select("token"), "token", "left_semi"), f"open{turn}")
         across, entries = per.agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("k") * F.col("short")).otherwise(F.col("k") * F.col("k") / 2)), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if across <= 20 * entries + 1_000_000 or turn > max_turns:
+        if across <= EXPANDED * entries + EXPANDED_ANYWAY or turn > max_turns:
             break
         draw = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "info", "component")
         turns = open_.groupBy("token").agg(F.min(F.when(has("info", SHORT), draw)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("sid", "n", "info", "component")])

@@ -103,6 +103,8 @@ def test_components_equal_brute_force(spark, monkeypatch, seed):
     if seed == 2:  # frequent members, turns and the unbroadcast way, on few rows
         monkeypatch.setattr(set_join, "FREQUENT_FROM", 3)
         monkeypatch.setattr(set_join, "BROADCAST_PAIRS", 0)
+        monkeypatch.setattr(set_join, "EXPANDED", 0)
+        monkeypatch.setattr(set_join, "EXPANDED_ANYWAY", 0)
         monkeypatch.setattr(common, "ONE_TASK_EDGES", 0)
     texts = texts_with_copies(seed)
     rows = [(100 - k, t) for k, t in enumerate(texts)]
