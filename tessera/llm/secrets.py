@@ -23,7 +23,7 @@ LEAST = 16
 _RUN = rf"[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}"
 #: Words that names and placeholders are made of.
 DICTIONARY = "account address admin alpha archive backup base beta build cache change client cloud config connect content copy data default demo dev document download draft dummy edit email end example fake false file final foo bar form group guide header home host image index info input insert item key lang lib library list local log login main manager menu message model module name net new node note notes null object old order output package page password path photo placeholder post private prod product profile project public query read release report request response root sample script search secret server service session set site sort source staging start state static status store string style summary system table tag temp template test text theme thumb time title token true type update upload user value version video view web word work your".split()
-_SECRET_WORDS = r"(?i)\b(token|secret|api|key|apikey|passw(or)?d|pwd|auth|bearer|credentials?|access|private)\b"
+_SECRET_WORDS = r"(?i)\b(token|secret|api|key|api_?key|\w*_(key|token|secret)|passw(or)?d|pwd|auth|bearer|credentials?|access|private)\b"
 _DIGEST_WORDS = r"(?i)\b(commit|sha\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|id|isbn|card|phone|account|order|invoice)\b"
 _FAKE_WORDS = r"(?i)\b(example|sample|dummy|fake|placeholder|test|demo|your)\b"
 FEATURES = ["length", "changes", "digits", "capitals", "vowel_pairs", "repeats", "hexadecimal", "dashes", "covered", "known_form", "test_path", "code_path", "assigned", "quoted", "secret_word", "digest_word", "fake_word"]
