@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that an earlier document has are cut out; a document of which nothing is left goes."""
-    done = line_dedup.dedup(docs)
+    """Chunks of lines and passages that an earlier document has are cut out; a document of which nothing is left goes."""
+    done = line_dedup.dedup(docs, line_dedup.Chunking(passages=True))
     gone = (F.col(f"{line_dedup.REPORT}.n_lines_removed") > 0) & (F.trim("text") == "")
     return done.filter(~F.coalesce(gone, F.lit(False))).select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -120,6 +120,56 @@ def test_an_inserted_line_moves_no_other_boundary():
     assert len(cut(lines) - cut([*lines[:30], "something new", *lines[30:]])) <= 2
 
 
+def covered(text, earlier, least=50):
+    """The lines of ``text`` in runs of more than ``least`` words that stand in a row in one of ``earlier``."""
+    lines, gone = text.split("\n"), set()
+    for other in earlier:
+        theirs = other.split("\n")
+        for a in range(len(lines)):
+            for c in range(len(theirs)):
+                n = 0
+                while a + n < len(lines) and c + n < len(theirs) and lines[a + n] == theirs[c + n]:
+                    n += 1
+                if len(" ".join(lines[a : a + n]).split()) > least:
+                    gone.update(range(a, a + n))
+    return gone
+
+
+def test_planted_passages_of_several_lines_go_whole(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    docs = []
+    for k in range(40):
+        lines = [line(rng.randint(1, 30)) for _ in range(rng.randint(3, 12))]
+        if k and k % 2:
+            theirs = docs[rng.randrange(len(docs))][1].split("\n")
+            a = rng.randrange(len(theirs))
+            at = rng.randint(0, len(lines))
+            lines[at:at] = theirs[a : a + rng.randint(2, 9)]
+        docs.append((k, "\n".join(lines)))
+    docs += [(100, docs[4][1]), (101, "\n".join(["same line of words"] * 40))]
+    done = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), line_dedup.Chunking(passages=True))
+    kept = {r["doc_id"]: r for r in done.collect()}
+    planted = 0
+    for n, (k, text) in enumerate(docs[:-1]):
+        gone = covered(text, [t for _, t in docs[:n]])
+        planted += len(gone)
+        lines, left = text.split("\n"), kept[k]["text"].split("\n")
+        assert not {lines[x] for x in gone} & set(left)
+        seen = {x for _, t in docs[:n] for x in t.split("\n")}
+        assert all(x in left or x in seen for x in lines)
+    assert planted > 40
+    assert kept[100]["text"] == ""
+    assert 50 < len(kept[101]["text"].split()) <= 56
+
+
+def test_a_repeated_id_loses_nothing_by_another_of_its_texts(spark):
+    line = lambda k: f"words of line {k} that are said only here {k}"
+    one, other = "\n".join(map(line, range(9))), "\n".join(map(line, range(20, 29)))
+    df = spark.createDataFrame([(1, one), (7, one), (7, other)], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup.dedup(df, line_dedup.Chunking(passages=True)).collect()) == ["", one, other]
+
+
 # language and toxicity
 
 
