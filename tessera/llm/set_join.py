@@ -22,7 +22,7 @@ input size, the most frequent ones. It only sets the order.
 
 Members and sets are named by 64-bit hashes. Defined results: a null text, an empty one or one without words has size 0 and
 is its own component; a null doc_id
-counts as the smallest and is given as null; each of several equal rows is
+counts as the smallest and is given as null; rows that repeat a doc_id, or have none, are told apart by a hash of their texts; each of several equal rows is
 returned; texts of any length are read whole; an empty table gives no rows.
 """
 
@@ -82,7 +82,7 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    """Rows of kind 1: set size, sets of a partition; 2: document, its size, its set."""
+    """Rows of kind 1: set size, sets of a partition; 2: document, its size, its set and the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -96,13 +96,13 @@ def _stats(docs: DataFrame) -> DataFrame:
                 if 0 < len(x) <= MAX_LIGHT and name not in seen:
                     seen.add(name)
                     sizes[len(x)] = sizes.get(len(x), 0) + 1
-            yield rows(2, batch.column(0), lens, names)
-        yield rows(1, pa.array(list(sizes), pa.int64()), list(sizes.values()), [0] * len(sizes))
+            yield rows(2, batch.column(0), lens, names, batch.column(2))
+        yield rows(1, pa.array(list(sizes), pa.int64()), list(sizes.values()), [0] * len(sizes), [0] * len(sizes))
 
-    def rows(kind: int, key: pa.Array, n, sid) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), key.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["kind", "key", "n", "sid"])
+    def rows(kind: int, key: pa.Array, n, sid, th) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), key.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(th, pa.int64())], names=["kind", "key", "n", "sid", "th"])
 
-    return docs.mapInArrow(run, "kind int, key long, n long, sid long")
+    return docs.mapInArrow(run, "kind int, key long, n long, sid long, th long")
 
 
 def _member_counts(docs: DataFrame) -> DataFrame:
@@ -230,18 +230,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, most: int = 2
     place = lambda part: F.pmod(F.xxhash64("a", part), F.lit(bins)).cast("int").alias("bin")
     to = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select(F.col("b").alias("sid"), "a", place(F.col("part")))
     own = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("a").alias("sid"), "a", place(F.col("part"))).distinct()
-    wanted = to.union(own).groupBy("sid").agg(F.collect_list(F.struct("a", "bin")).alias("to")).join(nodes.select("sid", "rep"), "sid")
-    wanted = wanted.select(F.col("rep").alias("doc"), "sid", "to")
-    found = docs.join(F.broadcast(wanted) if total <= BROADCAST_PAIRS else wanted, "doc").select("text", "sid", "to")
+    wanted = to.union(own).groupBy("sid").agg(F.collect_list(F.struct("a", "bin")).alias("to")).join(nodes.select("sid", "at"), "sid")
+    wanted = wanted.select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "sid", "to")
+    found = docs.join(F.broadcast(wanted) if total <= BROADCAST_PAIRS else wanted, ["doc", "th"]).select("text", "sid", "to")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             out: list[tuple] = []
             held = 0
             for text, sid, targets in zip(batch["text"], batch["sid"], batch["to"], strict=True):
+                # Equal rows of one doc_id need not be sent again.
+                if (sid, hash(text)) in sent:
+                    continue
+                sent.add((sid, hash(text)))
                 packed = press.compress(text.encode("utf-8", "surrogatepass"))
                 for t in targets:
                     out.append((t["a"], t["bin"], sid, packed))
@@ -256,9 +261,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, most: int = 2
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        texts = {sid: packed for sid, packed in zip(group["sid"], group["packed"], strict=True)}
-        read = dict(zip(texts, shingles.sets(pa.array([open_.decompress(p) for p in texts.values()], pa.large_binary())), strict=True))
-        read = {sid: x for sid, x in read.items() if shingles.set_id(x) == sid}
+        texts = list(dict.fromkeys(zip(group["sid"], group["packed"], strict=True)))
+        read = zip(texts, shingles.sets(pa.array([open_.decompress(p) for _, p in texts], pa.large_binary())), strict=True)
+        read = {sid: x for (sid, _), x in read if len(x) and shingles.set_id(x) == sid}
         out = []
         for a, sid in set(zip(group["a"], group["sid"], strict=True)):
             if a != sid and a in read and sid in read:
@@ -276,6 +281,7 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
     stats = scratch.write(_stats(docs), "stats")
     sizes = {r["key"]: r["n"] for r in stats.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("key") <= MAX_LIGHT).collect()}
     counts = scratch.write(_member_counts(docs).filter(F.col("n") >= FREQUENT_FROM), "counts")
@@ -289,8 +295,9 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
     frequent = np.sort(counts.filter(F.col("n") >= floor).select("key").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
     sets_, entries_of_frequent = sum(sizes.values()), sum(e for _, _, e in by_power)
     light = boundary(sizes, entries_of_frequent / max(1, sets_ + entries_of_frequent) + 1)
-    rows = stats.filter("kind = 2").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "sid")
-    nodes = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    rows = stats.filter("kind = 2").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "sid", "th")
+    # ``at`` is one row of the set: a doc_id alone would name other texts too.
+    nodes = rows.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("doc"), "th")).alias("at"))
     lists = scratch.write(_lists(_entries(docs, spark.sparkContext.broadcast(frequent), light)), "lists")
     scratch.drop("counts")
 

@@ -126,6 +126,25 @@ def test_set_join_of_nothing_and_of_null_ids(spark):
     assert {tuple(r) for r in found} == {(None, 2, None), (4, 2, None), (5, 1, 5)}
 
 
+@pytest.mark.parametrize("pairs", [0, 500_000])
+def test_links_of_rows_that_share_an_id_or_have_none(spark, monkeypatch, pairs):
+    monkeypatch.setattr(set_join, "BROADCAST_PAIRS", pairs)
+    texts = [t for t in texts_with_copies(3) if t]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, t) for k, t in enumerate(texts)]
+    rows += [(None, t) for _, t in rows[::5]]
+    sets = [shingle_set(t) for _, t in rows]
+    forest = Forest()
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            forest.tie(i, j)
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(forest.find(k), []).append(i)
+    expected = sorted((str(i), len(sets[k]), str(None if None in (ids := least[forest.find(k)]) else min(ids))) for k, (i, _) in enumerate(rows))
+    found = set_join.components_by_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == expected
+
+
 # embeddings
 
 
