@@ -11,7 +11,8 @@ to ``BROADCAST_SEEDS`` rows, and is shuffled beyond. Alignments are grouped befo
 recurs costs a row for each document. Words of a document are read again only where it has an alignment.
 
 Defined results: null texts and texts of fewer words than a mask spans are never hit, nor do items as short hit; an
-empty table gives no rows; rows that repeat a doc_id are one document, and a null doc_id is one too, with a null in the result.
+empty table gives no rows; rows that repeat a doc_id or have none are a document for each distinct text (named by its 64-bit
+hash ``th``), each with a row of its own in the result, and only those that hold a passage go.
 """
 
 from __future__ import annotations
@@ -63,28 +64,38 @@ def _best_stretch(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(same, zero, step, lambda s: F.struct(s["best"].alias("score"), s["best_matches"].alias("matches"), (s["best_start"] + skip).alias("start"), (s["best_end"] + skip).alias("end")))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: int = 13) -> DataFrame:
-    """doc_id, item_id, score, matches and the stretch (start, end) in the item's words, for each contaminating pair."""
-    scratch = Scratch(docs.sparkSession)
-    doc = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
+def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(docs[id_col].cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(docs[text_col].cast("string")).alias("th")]
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: int = 13) -> DataFrame:
+    """doc, th, item_id and the best stretch s for each contaminating pair."""
+    scratch, key = Scratch(docs.sparkSession), ["doc", "th"]
+    doc = docs.select(*_key(docs, id_col, text_col), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     items = scratch.write(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text).cast("string")).alias("item_words")).filter(F.size("item_words") >= SPAN), "items")
     seeds = _seeds(items.withColumnRenamed("item_words", "words"), ["item"]).withColumnRenamed("at", "item_at")
     seeds = scratch.write(seeds, "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
-    met = _seeds(doc.select("doc", words(F.col("text")).alias("words")), ["doc"]).join(F.broadcast(seeds) if few else seeds, "seed")
-    aligned = scratch.write(met.select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "aligned")
-    hit = aligned.select("doc").distinct()
-    again = doc.join(F.broadcast(hit) if hit.count() <= BROADCAST_DOCS else hit, "doc", "left_semi").select("doc", words(F.col("text")).alias("words"))
-    found = aligned.join(again, "doc").join(items, "item").select("doc", "item", "item_id", F.size("item_words").alias("n"), _best_stretch(F.col("words"), F.col("item_words"), F.col("shift")).alias("s"))
+    met = _seeds(doc.select(*key, words(F.col("text")).alias("words")), key).join(F.broadcast(seeds) if few else seeds, "seed")
+    aligned = scratch.write(met.select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "aligned")
+    hit = aligned.select(*key).distinct()
+    again = doc.join(F.broadcast(hit) if hit.count() <= BROADCAST_DOCS else hit, key, "left_semi").dropDuplicates(key).select(*key, words(F.col("text")).alias("words"))
+    found = aligned.join(again, key).join(items, "item").select(*key, "item", "item_id", F.size("item_words").alias("n"), _best_stretch(F.col("words"), F.col("item_words"), F.col("shift")).alias("s"))
     found = found.filter(F.col("s.score") >= F.least(F.lit(min_score), F.col("n")))
-    best = found.groupBy("doc", "item_id").agg(F.max(F.struct("s.score", "s.matches", (-F.col("s.start")).alias("back"), "s.end")).alias("s"))
+    return found.groupBy(*key, "item_id").agg(F.max(F.struct("s.score", "s.matches", (-F.col("s.start")).alias("back"), "s.end")).alias("s"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """doc_id, item_id, score, matches and the stretch (start, end) in the item's words, for each contaminating pair."""
+    best = _overlaps(docs, benchmark, id_col, **how)
     return best.select(F.nullif("doc", F.lit(LEAST_ID)).alias("doc_id"), "item_id", F.col("s.score").alias("score"), F.col("s.matches").alias("matches"), (-F.col("s.back")).alias("item_start"), F.col("s.end").alias("item_end"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    hit = overlaps(docs, benchmark, id_col, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    hit = _overlaps(docs, benchmark, id_col, text_col, **how).select(F.col("doc").alias("_hit"), F.col("th").alias("_th")).distinct()
+    doc, th = _key(docs, id_col, text_col)
+    return docs.join(hit, (doc == hit["_hit"]) & (th == hit["_th"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -214,6 +214,18 @@ def test_overlaps_survive_substitutions(spark):
     assert decontamination.overlaps(df.limit(0), bench).count() == decontamination.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_clean_rows_without_an_id_of_their_own_stay(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    item = text(30)
+    dirty = [(i, f"{text(9)} {item} {text(k)}") for k, i in enumerate([None, None, 7, 8])]
+    fine = [(i, text(40)) for i in [None, None, None, 7, 7, 9]] + [(None, None), (7, "")]
+    df = spark.createDataFrame([*dirty, *fine], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, map(tuple, decontamination.clean(df, bench).collect()))) == sorted(map(str, fine))
+    assert sorted(str(r["doc_id"]) for r in decontamination.overlaps(df, bench).collect()) == ["7", "8", "None", "None"]
+
+
 def test_decontamination_stays_in_the_jvm(spark, sf):
     from tessera.llm.queries import queries
 
