@@ -278,6 +278,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, most: int = 2
 
 def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_turns: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs``."""
+    return _linked(docs, id_col, text_col, max_turns).select(F.nullif("doc_id", F.lit(LEAST_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(LEAST_ID)).alias("component_id"))
+
+
+def originals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: of those with the smallest doc_id (none comes last), the one whose text has the
+    smallest hash, and of rows equal in both the least. Rows without words stay, but of each doc_id one."""
+    rows = _linked(docs, id_col, text_col, 3)
+    least = F.min(F.struct((F.col("doc_id") == LEAST_ID).alias("unnamed"), F.col("doc_id").alias("doc"), "th")).alias("r")
+    kept = rows.filter("n_shingles > 0").groupBy("component").agg(least).select("r.doc", "r.th")
+    wordless = rows.filter("n_shingles = 0")
+    named = wordless.filter(F.col("doc_id") != LEAST_ID).groupBy("doc_id").agg(F.min("th").alias("th")).select(F.col("doc_id").alias("doc"), "th")
+    every = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(docs[text_col].cast("string")).alias("th"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    one = every.join(kept.union(named), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.min("row").alias("row")).select("row.*")
+    unnamed = wordless.filter(F.col("doc_id") == LEAST_ID).select(F.col("doc_id").alias("doc"), "th").distinct()
+    return one.union(every.join(unnamed, ["doc", "th"], "left_semi").select("row.*"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, max_turns: int) -> DataFrame:
+    """doc_id (LEAST_ID for none), th (hash of the text), n_shingles, component (null without words) and component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -345,10 +364,9 @@ def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     of = nodes.join(reached, "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = checkpointed(of.join(least, "component").select("sid", "component_id"))
-    linked = rows.filter("n_shingles > 0").join(named, "sid").select("doc_id", "n_shingles", "component_id")
-    both = linked.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return both.select(F.nullif("doc_id", F.lit(LEAST_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(LEAST_ID)).alias("component_id"))
+    named = checkpointed(of.join(least, "component").select("sid", "component", "component_id"))
+    linked = rows.filter("n_shingles > 0").join(named, "sid").select("doc_id", "th", "n_shingles", "component", "component_id")
+    return linked.union(rows.filter("n_shingles = 0").select("doc_id", "th", "n_shingles", F.lit(None).cast("long"), F.col("doc_id").alias("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

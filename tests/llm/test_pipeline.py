@@ -37,3 +37,16 @@ def test_stages(spark, sf):
         before = after
     assert before.select("doc_id").distinct().count() == packed_of.count()
     assert before.groupBy("doc_id").agg(F.sum("length").alias("s"), F.max("doc_tokens").alias("t")).filter("s <> t").count() == 0
+
+
+def test_one_document_of_each_group_of_near_copies_stays(spark):
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(7, text("a"), "x"), (7, text("b"), "x"), (7, text("a") + " end", "x"), (8, text("b") + " end", "x"), (None, text("c"), "x"), (None, text("c") + " end", "x")]
+    rows += [(None, text("d"), "x"), (9, text("d"), "y"), (9, text("d"), "z"), (None, text("e"), "x"), (None, "", "x"), (5, None, "x"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = sorted((str(r["doc_id"]), (r["text"] or "-")[:1], r["source"]) for r in kept.collect())
+    assert found == sorted([("7", "a", "x"), ("7", "b", "x"), ("None", "c", "x"), ("9", "d", "y"), ("None", "e", "x"), ("None", "-", "x"), ("5", "-", "x")])
