@@ -194,6 +194,17 @@ def test_languages_are_told_apart_on_held_out_texts(spark):
     assert langid.predict(df, langid.fit(df.limit(0))).filter("lang_pred = 'und'").count() == len(rows)
 
 
+@pytest.mark.parametrize("held", [4_000_000, 300])
+def test_more_than_64_languages_are_learned(spark, monkeypatch, held):
+    monkeypatch.setattr(langid, "HELD", held)
+    rng = random.Random(4)
+    own = {f"l{k}": [chr(0x4E00 + 20 * k + j) * 2 for j in range(20)] for k in range(90)}
+    rows = [(n, " ".join(rng.choice(words) for _ in range(12)), lang) for n, (lang, words) in enumerate((x for x in own.items() for _ in range(2 if x[0] == "l89" else 4)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, langid.fit(df)).collect()}
+    assert found == {n: lang for n, _, lang in rows}
+
+
 def test_pieces_keep_every_ngram(monkeypatch):
     text = "Über die Straße, und weiter! " * 50
     whole = np.concatenate([b for b, _, _ in langid._pieces([text])])
