@@ -4,13 +4,17 @@ Texts become words (lower case, everything but letters and digits separates), wo
 of every text each mask picks the words at its positions and hashes them; positions it leaves out may differ. Hashes of
 documents meet those of the benchmark in a join, and a meeting names an alignment of a document with an item. Along it
 words are compared one by one: a match counts 1, a substitution -2, and the best stretch decides. A document is
-contaminated by an item if that stretch reaches ``min_score``, or the item's length where that is less.
+contaminated by an item if that stretch reaches ``min_score``, or the item's length where that is less. An item of fewer than
+``WHOLE`` words also counts if ``SHARE`` percent of all its words match along the alignment; with the mask ``NARROW``, which
+only items of SPAN words need, some mask meets wherever the others are. With ``short_items`` (as in the query and the pipeline) items
+of fewer words than a mask spans are met by a hash of all their words: those of ``PHRASE`` words and more anywhere in a
+document, shorter ones, which are no evidence inside of a text, where they are the whole document.
 
 Hashing places is one pass of generated code over the documents. The benchmark's side of the join is broadcast only up
 to ``BROADCAST_SEEDS`` rows, and is shuffled beyond. Alignments are grouped before the shuffle, so that a passage that
 recurs costs a row for each document. Words of a document are read again only where it has an alignment.
 
-Defined results: null texts and texts of fewer words than a mask spans are never hit, nor do items as short hit; an
+Defined results: null texts and texts without words are never hit, nor do items without words hit; an
 empty table gives no rows; rows that repeat a doc_id or have none are a document for each distinct text (named by its 64-bit
 hash ``th``), each with a row of its own in the result, and only those that hold a passage go.
 """
@@ -24,6 +28,7 @@ from tessera.llm.common import Scratch
 
 #: Positions that each mask reads, of SPAN.
 MASKS, SPAN = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 6, 7, 8), (0, 1, 2, 5, 7, 8)), 9
+NARROW, WHOLE, SHARE, PHRASE = (0, 1, 3, 4, 6, 7), 20, 85, 5
 BROADCAST_SEEDS, BROADCAST_DOCS = 2_000_000, 1_000_000
 LEAST_ID = -(1 << 63)
 
@@ -34,19 +39,31 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, ``at`` (the place) and ``seed`` for each mask at each place of ``words``."""
-    places = rows.select(*keep, "words", F.explode(F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN))).alias("at"))
-    picked = [F.xxhash64(*[F.element_at("words", F.col("at") + (p + 1)) for p in mask], F.lit(k)) for k, mask in enumerate(MASKS)]
-    return places.select(*keep, "at", F.explode(F.array(*picked)).alias("seed"))
+def _seeds(rows: DataFrame, keep: list[str], narrow: Column) -> DataFrame:
+    """keep, ``at`` (the place) and ``seed`` for each mask at each place of ``words``; NARROW's only where ``narrow``."""
+    span = F.when(narrow, NARROW[-1] + 1).otherwise(SPAN)
+    places = rows.select(*keep, "words", narrow.alias("narrow"), F.explode(F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span))).alias("at"))
+    hashed = lambda mask, k: F.xxhash64(*[F.element_at("words", F.col("at") + (p + 1)) for p in mask], F.lit(k))
+    wide, slim = [hashed(mask, k) for k, mask in enumerate(MASKS)], hashed(NARROW, len(MASKS))
+    fits = F.col("at") <= F.size("words") - SPAN
+    return places.select(*keep, "at", F.explode(F.when(fits & F.col("narrow"), F.array(*wide, slim)).when(fits, F.array(*wide)).otherwise(F.array(slim))).alias("seed"))
+
+
+def _short(rows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """keep, ``at`` and ``seed`` of all runs of ``words`` that are as long as a short item."""
+    size, none = F.size("words"), F.array().cast("array<int>")
+    runs = [F.when(size >= n if n >= PHRASE else size == n, F.sequence(F.lit(0), size - n)).otherwise(none) for n in sizes]
+    hashed = lambda n: lambda at: F.struct(at.alias("at"), F.xxhash64(F.slice("words", at + 1, n), F.lit(n)).alias("seed"))
+    seeds = [F.transform(run, hashed(n)) for n, run in zip(sizes, runs, strict=True)]
+    return rows.select(*keep, F.explode(F.flatten(F.array(*seeds))).alias("s")).select(*keep, "s.at", "s.seed")
 
 
 def _best_stretch(doc: Column, item: Column, shift: Column) -> Column:
-    """(score, matches, start in the item, end in the item) of the best stretch where doc[k + shift] stands beside item[k]."""
+    """(score, matches, start in the item, end in the item) of the best stretch, and all matches, where doc[k + shift] stands beside item[k]."""
     skip = F.greatest(-shift, F.lit(0))
     length = F.least(F.size(item) - skip, F.size(doc) - F.greatest(shift, F.lit(0)))
     same = F.zip_with(F.slice(doc, F.greatest(shift, F.lit(0)) + 1, length), F.slice(item, skip + 1, length), lambda x, y: x == y)
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("at", "score", "matches", "start", "best", "best_matches", "best_start", "best_end")])
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("at", "score", "matches", "start", "best", "best_matches", "best_start", "best_end", "all")])
 
     def step(s: Column, hit: Column) -> Column:
         grown = s["score"] + F.when(hit, 1).otherwise(-2)
@@ -59,29 +76,41 @@ def _best_stretch(doc: Column, item: Column, shift: Column) -> Column:
             (s["at"] + 1).alias("at"), score.alias("score"), matches.alias("matches"), start.alias("start"),
             F.when(better, score).otherwise(s["best"]).alias("best"), F.when(better, matches).otherwise(s["best_matches"]).alias("best_matches"),
             F.when(better, start).otherwise(s["best_start"]).alias("best_start"), F.when(better, s["at"] + 1).otherwise(s["best_end"]).alias("best_end"),
+            (s["all"] + F.when(hit, 1).otherwise(0)).alias("all"),
         )
 
-    return F.aggregate(same, zero, step, lambda s: F.struct(s["best"].alias("score"), s["best_matches"].alias("matches"), (s["best_start"] + skip).alias("start"), (s["best_end"] + skip).alias("end")))
+    return F.aggregate(same, zero, step, lambda s: F.struct(s["best"].alias("score"), s["best_matches"].alias("matches"), (s["best_start"] + skip).alias("start"), (s["best_end"] + skip).alias("end"), s["all"].alias("all")))
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(docs[id_col].cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(docs[text_col].cast("string")).alias("th")]
 
 
-def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: int = 13) -> DataFrame:
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_score: int = 13, short_items: bool = False) -> DataFrame:
     """doc, th, item_id and the best stretch s for each contaminating pair."""
     scratch, key = Scratch(docs.sparkSession), ["doc", "th"]
     doc = docs.select(*_key(docs, id_col, text_col), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    items = scratch.write(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text).cast("string")).alias("item_words")).filter(F.size("item_words") >= SPAN), "items")
-    seeds = _seeds(items.withColumnRenamed("item_words", "words"), ["item"]).withColumnRenamed("at", "item_at")
+    items = scratch.write(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text).cast("string")).alias("item_words")).filter(F.size("item_words") >= (1 if short_items else SPAN)), "items")
+    named = items.withColumnRenamed("item_words", "words")
+    long_, sizes = named.filter(F.size("words") >= SPAN), sorted(r["n"] for r in named.select(F.size("words").alias("n")).filter(F.col("n") < SPAN).distinct().collect())
+    narrow = long_.filter(F.size("words") == SPAN).count() > 0
+    seeds = _seeds(long_, ["item"], F.size("words") == SPAN).withColumnRenamed("at", "item_at")
+    if sizes:
+        seeds = seeds.union(_short(named.filter(F.size("words") < SPAN), ["item"], sizes))
     seeds = scratch.write(seeds, "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
-    met = _seeds(doc.select(*key, words(F.col("text")).alias("words")), key).join(F.broadcast(seeds) if few else seeds, "seed")
+    read = doc.select(*key, words(F.col("text")).alias("words"))
+    places = _seeds(read, key, F.lit(narrow))
+    if sizes:
+        places = places.union(_short(read, key, sizes))
+    met = places.join(F.broadcast(seeds) if few else seeds, "seed")
     aligned = scratch.write(met.select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "aligned")
     hit = aligned.select(*key).distinct()
     again = doc.join(F.broadcast(hit) if hit.count() <= BROADCAST_DOCS else hit, key, "left_semi").dropDuplicates(key).select(*key, words(F.col("text")).alias("words"))
-    found = aligned.join(again, key).join(items, "item").select(*key, "item", "item_id", F.size("item_words").alias("n"), _best_stretch(F.col("words"), F.col("item_words"), F.col("shift")).alias("s"))
-    found = found.filter(F.col("s.score") >= F.least(F.lit(min_score), F.col("n")))
+    found = aligned.join(again, key).join(items, "item").select(*key, "item", "item_id", F.size("item_words").alias("n"), F.size("words").alias("size"), _best_stretch(F.col("words"), F.col("item_words"), F.col("shift")).alias("s"))
+    enough = F.col("s.score") >= F.least(F.lit(min_score), F.col("n"))
+    share = (F.col("n") >= SPAN) & (F.col("n") < WHOLE) & (100 * F.col("s.all") >= SHARE * F.col("n"))
+    found = found.filter((enough | share) & ((F.col("n") >= PHRASE) | (F.col("size") == F.col("n"))))
     return found.groupBy(*key, "item_id").agg(F.max(F.struct("s.score", "s.matches", (-F.col("s.start")).alias("back"), "s.end")).alias("s"))
 
 
@@ -99,4 +128,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)

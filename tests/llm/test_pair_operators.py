@@ -214,6 +214,24 @@ def test_overlaps_survive_substitutions(spark):
     assert decontamination.overlaps(df.limit(0), bench).count() == decontamination.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_survive_substitutions(spark):
+    rng = random.Random(13)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    items = {n: text(n) for n in (1, 3, 5, 8, 9, 12, 14, 15, 18, 19)}
+    docs, hit = [], set()
+    for n, item in items.items():
+        most = 0 if n < 9 else n - -(-85 * n // 100)
+        for at in combinations(range(n), most):
+            docs.append((n, [*text(rng.randint(0, 9) if n >= 5 else 0), *["other" if k in at else w for k, w in enumerate(item)], *text(rng.randint(0, 9) if n >= 5 else 0)]))
+    wrong = [[*text(3), *items[3], *text(2)], [*text(3), *items[8][:7], *text(4)], [*items[12][:4], "x", "y", "z", *items[12][7:]]]
+    rows = [(k, " ".join(w)) for k, (_, w) in enumerate(docs)] + [(-1 - k, " ".join(w)) for k, w in enumerate(wrong)]
+    hit = {(k, n) for k, (n, _) in enumerate(docs)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(df, bench, short_items=True).collect()} == hit
+    assert {r["doc_id"] for r in decontamination.clean(df, bench, short_items=True).collect()} == {-1, -2, -3}
+
+
 def test_clean_rows_without_an_id_of_their_own_stay(spark):
     rng = random.Random(12)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
