@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. One of our own is set only where the cluster names none."""
+    """The folder that the driver and all executors see. One of our own is set only where there is no cluster."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir()
-        if not named:
-            named = tempfile.mkdtemp(prefix="tessera-")
-            sc.setCheckpointDir(named)
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -29,11 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Parquet tables in the shared folder. drop() removes those that no lazy result reads any more."""
+    """Parquet tables in the shared folder. drop() removes those that no lazy result reads any more; the rest goes as the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if self.spark.sparkContext._jsc is not None:
+                self.drop("")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -43,48 +50,17 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Edges (16 bytes each) up to which one task finds the components; beyond, rounds of joins do.
-ONE_TASK_EDGES = 500_000
-
-
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) for undirected ``edges`` (a, b), where component is the smallest node that can be reached."""
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    if edges.count() <= ONE_TASK_EDGES:
-        return checkpointed(e.coalesce(1).mapInArrow(_forest, "node long, component long"))
-    return _by_stars(e, max_rounds)
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for at in range(0, len(nodes), 50_000):
-        part = nodes[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "component"])
-
-
-def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Alternates the large-star and small-star steps: each keeps connectivity, and a forest of stars is reached in a
+    """(node, component) for undirected ``edges`` (a, b), where component is the smallest node that can be reached.
+
+    Alternates the large-star and small-star steps: each keeps connectivity, and a forest of stars is reached in a
     number of rounds that grows with the logarithm of the longest path. Every round is checkpointed, so that a lost
-    executor costs one round; the loop ends when a round changes no edge. Hub nodes cost nothing extra: minima are
-    combined before the shuffle, and joins on a hub are ordinary joins that adaptive execution can split.
+    executor costs one round. Hub nodes cost nothing extra: minima are combined before the shuffle, and joins on a
+    hub are ordinary joins that adaptive execution can split.
     """
 
     def large_star(e: DataFrame) -> DataFrame:
@@ -93,19 +69,19 @@ def _by_stars(edges: DataFrame, max_rounds: int) -> DataFrame:
         return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(low, "a")
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        joined = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        return joined.union(low.select("a", F.col("m").alias("b"))).distinct()
+
+    def settled(e: DataFrame) -> bool:
+        """Are all edges those of stars: one for each node that is no center?"""
+        if not e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            return False
+        return e.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty()
 
-    e = checkpointed(edges.distinct())
-    digest = None
+    e = checkpointed(small_star(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()))
     for _ in range(max_rounds):
+        if settled(e):
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         e = checkpointed(small_star(large_star(e)))
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == digest:
-            break
-        digest = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

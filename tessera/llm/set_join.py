@@ -5,20 +5,20 @@ Two sets of sizes s and t have a Jaccard similarity of at least 4/5 only if they
 * Light sets (size up to a boundary) enumerate their subsets of each size c that some partner asks for, so two that
   link meet in at least one list, and little else meets there.
 * Heavy sets are entered in the inverted lists of the first s - ceil(4 s / 5) + 1 of their members in one global order.
-  Two linked sets share a member there whatever the order is, and one that is among the smaller set's first ninth. The
-  order is by hash, but the members that were counted and are frequent come after those that were counted and are not, so
-  that a passage of many documents opens no list for a document that has other members.
+  Two linked sets share a member there whatever the order is. Members are counted over all documents, and the order is rare ones
+  (by hash), then frequent ones by the power of two of their count. So neither a passage of many documents nor the text that
+  many near copies have in common opens a list for a document that has enough members of its own.
 * The boundary is the size up to which enumerating costs less than scanning, from the sizes and list lengths counted
   over all documents. Light sets near the boundary are entered in both.
 
-Lists are never expanded into all pairs at once. Equal sets are one class from the start. Of each list the first member
-is compared with the others (a row for each entry); connected components of what is verified leave most lists with one
-component, and only lists with several are expanded, across components, and only to pairs that the number of shared
-list entries still allows. Should that be many pairs, more members take a turn as the first. Verification reads whole
-texts. All links between different components are found, so the components are exact; links inside of one need not be.
+Lists are never expanded into pairs of rows. Equal sets are one class from the start. Of each list the first member is
+compared with the others. Connected components of what links leave most lists with one component; in the others, the sets that may
+still link with a set of another component, by what is left of both at the place where they meet, are compared with each
+other inside of tasks that hold ``HELD`` members, block by block where a first member has more. A task gives a spanning
+forest of its links. Comparison reads whole texts. All links between different components are found, so the
+components are exact; links inside of one need not be.
 
-The set of frequent members is chosen from counts over all documents, and has at most ``MAX_FREQUENT`` members at any
-input size, the most frequent ones. It only sets the order.
+The frequent members are at most ``MAX_FREQUENT`` at any input size, the most frequent ones. They only set the order.
 
 Members and sets are named by 64-bit hashes. Defined results: a null text, an empty one or one without words has size 0 and
 is its own component; a null doc_id
@@ -42,14 +42,11 @@ from tessera.llm import shingles
 from tessera.llm.common import Scratch, checkpointed, components
 
 MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 4_000_000, 6, 16
-#: Pairs up to which a broadcast of their names (16 bytes each) replaces a shuffle of all texts.
-BROADCAST_PAIRS = 500_000
-#: Rows for each list entry, and in all, up to which lists are expanded at once; beyond, more members take a turn first.
-EXPANDED, EXPANDED_ANYWAY = 200, 1_000_000
+#: Bytes of a member's hash that counting goes by, members that one counting group adds up, and members that one comparison holds.
+KEY_BYTES, COUNTED, HELD = 6, 4_000_000, 500_000
+#: Rows (about 40 bytes each) up to which a broadcast of the wanted names replaces a shuffle of all texts.
+BROADCAST_ROWS = 500_000
 LEAST_ID = -(1 << 63)
-LIGHT, SHORT, COMMON = 1, 2, 4
-#: Members are counted up to this hash: a quarter of all, a little more than large sets enter.
-COUNTED = np.uint64(1 << 62)
 _U = np.uint64
 
 
@@ -105,59 +102,98 @@ def _stats(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, key long, n long, sid long, th long")
 
 
-def _member_counts(docs: DataFrame) -> DataFrame:
-    """(key, n): the members below COUNTED and the number of sets that have them (repeats of a set count once in a partition)."""
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, one plane for each byte, compressed."""
+    import zstandard
+
+    planes = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(KEY_BYTES, -1)
+    gaps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    gaps[:, :KEY_BYTES] = planes.T
+    return np.cumsum(gaps.view(_U).ravel(), dtype=_U)
+
+
+def _member_counts(docs: DataFrame, members: int) -> DataFrame:
+    """(key, n): the members (by the upper 48 bits of their hash) that at least FREQUENT_FROM sets have, and how many have them.
+    Repeats of a set count once in a partition. Keys travel in packed runs, each to the group of its range of keys."""
+    groups = max(1, -(-members // COUNTED))
+    bounds = np.array([(g << 8 * KEY_BYTES) // groups for g in range(groups + 1)], dtype=_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            members = []
             for x in shingles.sets(batch.column(1)):
                 name = shingles.set_id(x) if len(x) else 0
                 if len(x) and name not in seen:
                     seen.add(name)
-                    members.append(x[: np.searchsorted(x, COUNTED)])
-            if members:
-                keys, counts = np.unique(np.concatenate(members), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int32))], names=["key", "n"])
+                    held.append(x >> _U(64 - 8 * KEY_BYTES))
+                    size += len(x)
+                    if size >= COUNTED:
+                        yield packed(held)
+                        held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        import zstandard
+
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        at = np.searchsorted(keys, bounds)
+        full = [g for g in range(groups) if at[g] < at[g + 1]]
+        press = zstandard.ZstdCompressor(level=1)
+        runs = [_pack(keys[at[g] : at[g + 1]]) for g in full]
+        counts = [press.compress(n[at[g] : at[g + 1]].astype(np.uint32).tobytes()) for g in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(runs, pa.binary()), pa.array(counts, pa.binary())], names=["part", "keys", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
+        keys = np.concatenate([_unpack(k.as_py()) for k in table.column("keys")])
+        n = np.concatenate([np.frombuffer(open_.decompress(c.as_py()), dtype=np.uint32) for c in table.column("counts")])
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, n = keys[at], np.add.reduceat(n, at)
+        often = n >= FREQUENT_FROM
+        return pa.table({"key": pa.array(keys[often].astype(np.int64)), "n": pa.array(n[often])})
 
-    return docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "part int, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long, n long")
 
 
 def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
-    """(token, sid, n, info): the list entries of every set. info has the flags LIGHT (the token is a subset), SHORT (a
-    partner of at least this size shares one of these) and COMMON (a frequent member), and 8 times the set's COMMON entries."""
+    """(token, sid, n, rest): the list entries of every set; ``rest`` members of the set stand from this one on, in the order."""
 
-    def tokens(x: np.ndarray, last: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def tokens(x: np.ndarray, keys: np.ndarray, powers: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(x)
         if n <= light:
-            found = []
             for c in subset_sizes(n):
                 at = np.array(list(combinations(range(n), c)), dtype=np.int64).reshape(-1, c)
                 h = np.full(len(at), 0x9E37 * c + 1, dtype=_U)
                 for k in range(c):
                     h = shingles.mix(h * _U(0xD6E8FEB86659FD93) + x[at[:, k]])
-                found.append(h)
-            found = np.concatenate(found)
-            yield found, np.full(len(found), LIGHT | SHORT, dtype=np.int32)
+                yield h, np.full(len(h), n, dtype=np.int32)
         if 5 * n >= 4 * (light + 1):
             p = prefix(n)
-            zone = int(np.searchsorted(x, COUNTED))
-            common = maybe[x[:zone] & _U(len(maybe) - 1)]
-            at = np.flatnonzero(common)
-            common[at] = last[np.minimum(np.searchsorted(last, x[at]), len(last) - 1)] == x[at]
-            info = np.zeros(p, dtype=np.int32)
-            info[: n - (8 * n + 8) // 9 + 1] |= SHORT
-            lead = zone - int(common.sum())
-            few = max(0, min(p, zone) - lead)
-            if few:
-                info[lead : lead + few] |= COMMON
-                info += 8 * few
-            yield (x[:p] if lead == zone else np.concatenate([x[:zone][~common], x[:zone][common], x[zone:]])[:p]), info
+            short = x >> _U(64 - 8 * KEY_BYTES)
+            at = np.flatnonzero(maybe[short & _U(len(maybe) - 1)])
+            place = np.minimum(np.searchsorted(keys, short[at]), len(keys) - 1)
+            power = np.zeros(n, dtype=np.uint8)
+            power[at] = np.where(keys[place] == short[at], powers[place], 0)
+            yield x[np.argsort(power, kind="stable")[:p]], n - np.arange(p, dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, maybe = frequent.value, np.zeros(1 << 22, dtype=bool)
-        maybe[last & _U(len(maybe) - 1)] = True
+        keys, powers = frequent.value
+        maybe = np.zeros(1 << 24, dtype=bool)
+        maybe[keys & _U(len(maybe) - 1)] = True
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
@@ -169,8 +205,8 @@ def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
                 if name in seen:
                     continue
                 seen.add(name)
-                for h, info in tokens(x, last, maybe):
-                    out.append((h, name, len(x), info))
+                for h, rest in tokens(x, keys, powers, maybe):
+                    out.append((h, name, len(x), rest))
                     held += len(h)
                 if held > 200_000:
                     yield rows(out)
@@ -181,18 +217,18 @@ def _entries(docs: DataFrame, frequent, light: int) -> DataFrame:
     def rows(out: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
         lens = [len(o[0]) for o in out]
         names, sizes = (np.repeat(np.array([o[k] for o in out], dtype=t), lens) for k, t in ((1, np.int64), (2, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(names), pa.array(sizes), pa.array(np.concatenate([o[3] for o in out]))], names=["token", "sid", "n", "info"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(names), pa.array(sizes), pa.array(np.concatenate([o[3] for o in out]))], names=["token", "sid", "n", "rest"])
 
-    return docs.mapInArrow(run, "token long, sid long, n int, info int")
+    return docs.mapInArrow(run, "token long, sid long, n int, rest int")
 
 
 def _lists(entries: DataFrame) -> DataFrame:
     """The entries of lists with several sets, each with the list's first entry. A list streams through its task in
     order; of what came before, only the first and the last entry are held."""
-    names = ["token", "sid", "n", "info"]
+    names = ["token", "sid", "n", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (last entry, (sid, n, info) of the first entry of its list, whether the last entry is out)
+        held = None  # (last entry, (sid, n, rest) of the first entry of its list, whether the last entry is out)
         for batch in batches:
             x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
             if not len(x[0]):
@@ -214,77 +250,152 @@ def _lists(entries: DataFrame) -> DataFrame:
             emit = several[group] & ~out
             held = ([c[-1] for c in x], [f[-1] for f in first], bool(several[-1]))
             if emit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in (*x, *(f[group] for f in first))], names=[*names, "first", "first_n", "first_info"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[emit]) for c in (*x, *(f[group] for f in first))], names=[*names, "first", "first_n", "first_rest"])
 
-    # The set with the most common members is the likeliest original of a group of copies, so it stands first.
-    ordered = entries.repartition("token").sortWithinPartitions("token", F.shiftright("info", 3).desc(), "sid")
-    return ordered.mapInArrow(run, "token long, sid long, n int, info int, first long, first_n int, first_info int")
+    # Of a list of a common member, the set with the fewest rare ones before it is the likeliest original: it stands first.
+    ordered = entries.repartition("token").sortWithinPartitions("token", F.col("rest").desc(), "sid")
+    return ordered.mapInArrow(run, "token long, sid long, n int, rest int, first long, first_n int, first_rest int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
-    """The pairs (a, b) of sets that do link. The texts of b, packed, go to a; an a with many is split among tasks."""
-    spark = docs.sparkSession
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select("a", F.ceil(F.col("k") / most).cast("int").alias("parts"))
-    total = pairs.count()
-    bins = max(1, total // (2 * most))
-    place = lambda part: F.pmod(F.xxhash64("a", part), F.lit(bins)).cast("int").alias("bin")
-    to = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select(F.col("b").alias("sid"), "a", place(F.col("part")))
-    own = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("a").alias("sid"), "a", place(F.col("part"))).distinct()
-    wanted = to.union(own).groupBy("sid").agg(F.collect_list(F.struct("a", "bin")).alias("to")).join(nodes.select("sid", "at"), "sid")
-    wanted = wanted.select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "sid", "to")
-    found = docs.join(F.broadcast(wanted) if total <= BROADCAST_PAIRS else wanted, ["doc", "th"]).select("text", "sid", "to")
+def _open(lists: DataFrame, reached: DataFrame) -> DataFrame:
+    """(first, sid, n): the sets that may link with a set of another component in a list of several components, by sizes and places.
+
+    At the first member that two sets share, what is left of either is at least what they have to share. So an entry
+    meets sets of up to ``most`` = (9 rest - 4 n) / 4 members, and two entries each allow the other's size. For each list
+    and size one row says what its entries allow and whether they are of one component; it precedes the entries
+    in their stream, so that no list is held.
+    """
+    here = lists.join(reached, "sid", "left").select("token", "first", "sid", "n", F.floor((9 * F.col("rest") - 4 * F.col("n")) / 4).cast("int").alias("most"), F.coalesce("component", "sid").alias("component"))
+    sizes = here.groupBy("token", "n").agg(F.max("most").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"))
+    # The first entry was compared with all others, so a list of two is done.
+    mixed = sizes.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("k").alias("k")).filter("lo <> hi and k > 2").select("token")
+    both = sizes.select("token", F.lit(0).alias("kind"), "n", "most", F.col("lo").alias("x"), F.col("hi").alias("y"), F.lit(0).cast("long").alias("first"))
+    both = both.union(here.select("token", F.lit(1), "n", "most", "component", "sid", "first")).join(mixed, "token", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, table = None, np.zeros((4, 0), dtype=np.int64)  # sizes, what they allow, lowest and highest component
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, kind, n, most, x, y, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (kind[1:] != kind[:-1])]))
+            for lo, hi in zip(at, [*at[1:], len(t)], strict=True):
+                if kind[lo] == 0:
+                    new = np.stack([n[lo:hi].astype(np.int64), most[lo:hi].astype(np.int64), x[lo:hi], y[lo:hi]])
+                    table = np.concatenate([table, new], axis=1) if token == t[lo] else new
+                    token = t[lo]
+                    continue
+                found = np.zeros(hi - lo, dtype=bool)
+                for size, allows, low, high in table.T:
+                    found |= (size <= most[lo:hi]) & (allows >= n[lo:hi]) & ((low != x[lo:hi]) | (high != x[lo:hi]))
+                if found.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(first[lo:hi][found]), pa.array(y[lo:hi][found]), pa.array(n[lo:hi][found])], names=["first", "sid", "n"])
+
+    return both.repartition("token").sortWithinPartitions("token", "kind", "n").mapInArrow(run, "first long, sid long, n int").distinct()
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """(task, side, sid, n): the first set of each list to the left, those it may link with, in parts of about HELD members, to the right."""
+    pairs = lists.filter((F.col("first") != F.col("sid")) & (9 * F.least("rest", "first_rest") >= 4 * (F.col("n") + F.col("first_n")))).select("first", "first_n", "sid", "n").distinct()
+    parts = pairs.groupBy("first", "first_n").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("parts"))
+    right = pairs.join(parts.select("first", "parts"), "first").select(F.xxhash64("first", F.pmod(F.xxhash64("sid"), "parts").cast("int")).alias("task"), F.lit(1).alias("side"), "sid", "n")
+    left = parts.select("first", "first_n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.xxhash64("first", "part").alias("task"), F.lit(0).alias("side"), F.col("first").alias("sid"), F.col("first_n").alias("n"))
+    return left.union(right)
+
+
+def _blocks(open_: DataFrame) -> DataFrame:
+    """(task, side, sid, n): all sets of a first set with each other (side 2), or block by block where they have more than HELD members."""
+    blocks = open_.groupBy("first").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("blocks"))
+    placed = open_.join(blocks, "first").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    sent = placed.select("first", "sid", "n", "block", F.explode(each).alias("at"))
+    side = F.when(F.col("at.i") == F.col("at.j"), 2).when(F.col("block") == F.col("at.i"), 0).otherwise(1)
+    return sent.select(F.xxhash64("first", "at.i", "at.j").alias("task"), side.alias("side"), "sid", "n")
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set to the left that links, its place and the places of the linked sets to the right (without ``right``, of
+    the later ones to the left)."""
+    others = left if right is None else right
+    members, owner = np.concatenate(others), np.repeat(np.arange(len(others)), [len(x) for x in others])
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    sizes = np.array([len(x) for x in others])
+    for k, x in enumerate(left if right is not None else left[:-1]):
+        lo, hi = np.searchsorted(members, x, side="left"), np.searchsorted(members, x, side="right")
+        lens = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        both = np.bincount(owner[at], minlength=len(others))
+        near = 100 * both >= 80 * (len(x) + sizes - both)
+        if right is None:
+            near[: k + 1] = False
+        if near.any():
+            yield k, np.flatnonzero(near)
+
+
+def _forest(names: np.ndarray, links: Iterator[tuple[int, np.ndarray]], shift: int) -> list[tuple[int, int]]:
+    """The links, from the first sets to those from ``shift`` on, that join two trees."""
+    tree, out = np.arange(len(names)), []
+    for k, js in links:
+        js = js + shift
+        while len(js := js[tree[js] != tree[k]]):
+            out.append((int(names[k]), int(names[js[0]])))
+            tree[tree == tree[js[0]]] = tree[k]
+    return out
+
+
+def _verified(placed: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of sets that meet in a task, a spanning forest of each task's. Whole texts, packed, go to the tasks."""
+    total, rows = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    bins = max(1, total // HELD)
+    wanted = placed.join(nodes.select("sid", "at"), "sid").select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "sid", "task", "side", F.pmod(F.xxhash64("task"), F.lit(bins)).cast("int").alias("bin"))
+    found = docs.join(F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted, ["doc", "th"]).select("bin", "task", "side", "sid", "text")
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
-        sent: set[tuple[int, int]] = set()
+        sent: set[tuple[int, int, int]] = set()
+        last, done = None, b""
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for text, sid, targets in zip(batch["text"], batch["sid"], batch["to"], strict=True):
-                # Equal rows of one doc_id need not be sent again.
-                if (sid, hash(text)) in sent:
-                    continue
-                sent.add((sid, hash(text)))
-                packed = press.compress(text.encode("utf-8", "surrogatepass"))
-                for t in targets:
-                    out.append((t["a"], t["bin"], sid, packed))
-                    held += len(packed)
-                    if held > 8 << 20:
-                        yield pd.DataFrame(out, columns=["a", "bin", "sid", "packed"])
-                        out, held = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=["a", "bin", "sid", "packed"])
+            # Equal rows of one doc_id need not be sent again.
+            fresh = [key not in sent and not sent.add(key) for key in zip(batch["task"], batch["side"], batch["sid"], strict=True)]
+            batch, packed = batch[fresh], []
+            for text in batch["text"]:
+                if text != last:
+                    last, done = text, press.compress(text.encode("utf-8", "surrogatepass"))
+                packed.append(done)
+            yield batch.drop(columns="text").assign(packed=packed)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        texts = list(dict.fromkeys(zip(group["sid"], group["packed"], strict=True)))
-        read = zip(texts, shingles.sets(pa.array([open_.decompress(p) for _, p in texts], pa.large_binary())), strict=True)
-        read = {sid: x for (sid, _), x in read if len(x) and shingles.set_id(x) == sid}
+        texts = group.drop_duplicates("sid")
+        sets = dict(zip(texts["sid"], shingles.sets(pa.array([open_.decompress(p) for p in texts["packed"]], pa.large_binary())), strict=True))
         out = []
-        for a, sid in set(zip(group["a"], group["sid"], strict=True)):
-            if a != sid and a in read and sid in read:
-                x, y = read[a], read[sid]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= 80 * (len(x) + len(y) - both):
-                    out.append((a, sid))
+        # A row of the set may stand in the table several times.
+        for _, task in group.drop_duplicates(["task", "side", "sid"]).groupby("task"):
+            sids, side = task["sid"].to_numpy(), task["side"].to_numpy()
+            if (side == 2).any():
+                out += _forest(sids, _links([sets[s] for s in sids], None), 0)
+            elif (side == 0).any() and (side == 1).any():
+                left, right = sids[side == 0], sids[side == 1]
+                out += _forest(np.concatenate([left, right]), _links([sets[s] for s in left], [sets[s] for s in right]), len(left))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return found.mapInPandas(send, "a long, bin int, sid long, packed binary").groupBy("bin").applyInPandas(compare, "a long, b long")
+    return found.mapInPandas(send, "bin int, task long, side int, sid long, packed binary").groupBy("bin").applyInPandas(compare, "a long, b long")
 
 
-def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_turns: int = 3) -> DataFrame:
+def components_by_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row of ``docs``."""
-    return _linked(docs, id_col, text_col, max_turns).select(F.nullif("doc_id", F.lit(LEAST_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(LEAST_ID)).alias("component_id"))
+    return _linked(docs, id_col, text_col).select(F.nullif("doc_id", F.lit(LEAST_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(LEAST_ID)).alias("component_id"))
 
 
 def originals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: of those with the smallest doc_id (none comes last), the one whose text has the
     smallest hash, and of rows equal in both the least. Rows without words stay, but of each doc_id one."""
-    rows = _linked(docs, id_col, text_col, 3)
+    rows = _linked(docs, id_col, text_col)
     least = F.min(F.struct((F.col("doc_id") == LEAST_ID).alias("unnamed"), F.col("doc_id").alias("doc"), "th")).alias("r")
     kept = rows.filter("n_shingles > 0").groupBy("component").agg(least).select("r.doc", "r.th")
     wordless = rows.filter("n_shingles = 0")
@@ -295,7 +406,7 @@ def originals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return one.union(every.join(unnamed, ["doc", "th"], "left_semi").select("row.*"))
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, max_turns: int) -> DataFrame:
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id (LEAST_ID for none), th (hash of the text), n_shingles, component (null without words) and component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -303,15 +414,20 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, max_turns: int) -> Data
     docs = docs.withColumn("th", F.xxhash64("text"))
     stats = scratch.write(_stats(docs), "stats")
     sizes = {r["key"]: r["n"] for r in stats.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("key") <= MAX_LIGHT).collect()}
-    counts = scratch.write(_member_counts(docs).filter(F.col("n") >= FREQUENT_FROM), "counts")
-    by_power = sorted(((r["power"], r["k"], r["entries"]) for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("entries")).collect()), reverse=True)
+    members = stats.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = scratch.write(_member_counts(docs, members), "counts")
+    power = F.floor(F.log2("n")).cast("int")
+    by_power = sorted(((r["power"], r["k"], r["entries"]) for r in counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("entries")).collect()), reverse=True)
     floor, total = 0, 0
-    for power, k, _ in by_power:
+    for p, k, _ in by_power:
         total += k
         if total > MAX_FREQUENT:
-            floor = 1 << (power + 1)
+            floor = p + 1
             break
-    frequent = np.sort(counts.filter(F.col("n") >= floor).select("key").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
+    often = counts.filter(power >= floor).select("key", power.alias("power")).toArrow()
+    keys, powers = often.column(0).to_numpy().astype(_U), often.column(1).to_numpy().astype(np.uint8)
+    order = np.argsort(keys)
+    frequent = (keys[order], powers[order]) if len(keys) else (np.zeros(1, _U), np.zeros(1, np.uint8))
     sets_, entries_of_frequent = sum(sizes.values()), sum(e for _, _, e in by_power)
     light = boundary(sizes, entries_of_frequent / max(1, sets_ + entries_of_frequent) + 1)
     rows = stats.filter("kind = 2").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), "sid", "th")
@@ -320,47 +436,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, max_turns: int) -> Data
     lists = scratch.write(_lists(_entries(docs, spark.sparkContext.broadcast(frequent), light)), "lists")
     scratch.drop("counts")
 
-    has = lambda info, flag: F.col(info).bitwiseAND(F.lit(flag)) != 0
-
-    def may(a: str, b: str):
-        """Two entries of a list whose sizes allow a link, the smaller set's one being SHORT."""
-        n, m = F.col(a.format("n")), F.col(b.format("n"))
-        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & F.when(n <= m, has(a.format("info"), SHORT)).otherwise(has(b.format("info"), SHORT))
-
-    pairs = lists.filter((F.col("first") != F.col("sid")) & may("first_{}", "{}")).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    tested = scratch.write(pairs, "pairs0")
-    edges = scratch.write(_verified(tested, docs, nodes), "edges0")
-    for turn in range(1, max_turns + 2):
-        reached = components(edges).select(F.col("node").alias("sid"), "component")
-        here = lists.join(reached, "sid", "left").select("token", "sid", "n", "info", F.coalesce("component", "sid").alias("component"))
-        per = here.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if(has("info", SHORT)).alias("short"), F.bool_or(has("info", COMMON)).alias("common"))
-        per = scratch.write(per.filter("lo <> hi and (short > 0 or not common)").select("token", "k", "short", "common"), f"mixed{turn}")
-        open_ = scratch.write(here.join(per.select("token"), "token", "left_semi"), f"open{turn}")
-        across, entries = per.agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("k") * F.col("short")).otherwise(F.col("k") * F.col("k") / 2)), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if across <= EXPANDED * entries + EXPANDED_ANYWAY or turn > max_turns:
-            break
-        draw = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "info", "component")
-        turns = open_.groupBy("token").agg(F.min(F.when(has("info", SHORT), draw)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"f_{c}") for c in ("sid", "n", "info", "component")])
-        pairs = open_.join(turns, "token").filter((F.col("component") != F.col("f_component")) & may("f_{}", "{}"))
-        pairs = pairs.select(F.least("f_sid", "sid").alias("a"), F.greatest("f_sid", "sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = scratch.write(pairs, f"pairs{turn}")
-        tested = tested.union(new)
-        edges = edges.union(scratch.write(_verified(new, docs, nodes), f"edges{turn}"))
-
-    side = lambda c: open_.select("token", *[F.col(x).alias(f"{c}_{x}") for x in ("sid", "n", "info", "component")])
-    counted = ~has("x_info", COMMON) | may("x_{}", "y_{}")
-    sized = 5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")
-    met = side("x").join(side("y"), "token").filter((F.col("x_sid") < F.col("y_sid")) & (F.col("x_component") != F.col("y_component")) & sized & counted)
-    met = met.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), "x_n", "y_n", F.least("x_info", "y_info").alias("info"), may("x_{}", "y_{}").alias("may"))
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("x_n").alias("n"), F.max("y_n").alias("m"), F.max(F.shiftright("info", 3)).alias("common"), F.bool_or("may").alias("may"), F.bool_or(has("info", LIGHT)).alias("light"))
-    # Beyond the entered members two sets share no more than the larger rest, and common ones need not have been counted.
-    first = lambda n: F.col(n) - F.floor((4 * F.col(n) + 4) / 5) + 1
-    reach = F.col("met") + F.col("common") + F.greatest(F.col("n") - first("n"), F.col("m") - first("m"))
-    wanted = met.filter(F.col("may") & (F.col("light") | (9 * reach >= 4 * (F.col("n") + F.col("m")))))
-    rest = scratch.write(wanted.select("a", "b").join(tested, ["a", "b"], "left_anti"), "rest")
-    edges = scratch.write(edges.union(_verified(rest, docs, nodes)), "edges")
+    stars = scratch.write(_stars(lists), "stars")
+    edges = scratch.write(_verified(stars, docs, nodes), "edges0")
+    open_ = scratch.write(_open(lists, components(edges).select(F.col("node").alias("sid"), "component")), "open")
+    scratch.drop("lists", "stars")
+    blocks = scratch.write(_blocks(open_), "blocks")
+    edges = scratch.write(edges.union(_verified(blocks, docs, nodes)), "edges")
     reached = components(edges).select(F.col("node").alias("sid"), "component")
-    scratch.drop("lists", "pairs0", *(f"{what}{k}" for k in range(1, turn + 1) for what in ("open", "mixed", "pairs", "edges")), "edges0", "rest")
+    scratch.drop("edges0", "edges", "open", "blocks")
 
     of = nodes.join(reached, "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))

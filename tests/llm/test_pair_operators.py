@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, common, decontamination, itq, secrets, set_join, shingles
+from tessera.llm import chat, decontamination, itq, secrets, set_join, shingles
 from tessera.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,9 +35,7 @@ def shingle_set(text):
 # components
 
 
-@pytest.mark.parametrize("most", [0, 500_000])
-def test_components_of_chains_stars_and_pairs(spark, monkeypatch, most):
-    monkeypatch.setattr(common, "ONE_TASK_EDGES", most)
+def test_components_of_chains_stars_and_pairs(spark):
     edges = [(k, k + 1) for k in range(100, 130)] + [(5, k) for k in range(200, 260)] + [(1, 2), (2, 1), (3, 3), (900, 901)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     forest = Forest()
@@ -100,12 +98,11 @@ def texts_with_copies(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_brute_force(spark, monkeypatch, seed):
-    if seed == 2:  # frequent members, turns and the unbroadcast way, on few rows
+    if seed == 2:  # frequent members, several counting groups, blocks and the unbroadcast way, on few rows
         monkeypatch.setattr(set_join, "FREQUENT_FROM", 3)
-        monkeypatch.setattr(set_join, "BROADCAST_PAIRS", 0)
-        monkeypatch.setattr(set_join, "EXPANDED", 0)
-        monkeypatch.setattr(set_join, "EXPANDED_ANYWAY", 0)
-        monkeypatch.setattr(common, "ONE_TASK_EDGES", 0)
+        monkeypatch.setattr(set_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(set_join, "COUNTED", 500)
+        monkeypatch.setattr(set_join, "HELD", 100)
     texts = texts_with_copies(seed)
     rows = [(100 - k, t) for k, t in enumerate(texts)]
     sets = {i: shingle_set(t) for i, t in rows}
@@ -128,7 +125,7 @@ def test_set_join_of_nothing_and_of_null_ids(spark):
 
 @pytest.mark.parametrize("pairs", [0, 500_000])
 def test_links_of_rows_that_share_an_id_or_have_none(spark, monkeypatch, pairs):
-    monkeypatch.setattr(set_join, "BROADCAST_PAIRS", pairs)
+    monkeypatch.setattr(set_join, "BROADCAST_ROWS", pairs)
     texts = [t for t in texts_with_copies(3) if t]
     rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, t) for k, t in enumerate(texts)]
     rows += [(None, t) for _, t in rows[::5]]
