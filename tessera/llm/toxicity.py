@@ -1,28 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary documents, one on the windows that are distinctive of
-toxic documents. Each window of a text is compressed with the ordinary dictionary and with the toxic dictionary in front
-of the ordinary one. The shared part makes the two lengths equal where a window holds ordinary text only, so what the
-toxic dictionary saves is evidence. How many windows save how many bytes is turned into a probability by a logistic
-calibration, fitted on labelled documents that no dictionary has seen.
-
-A random toxic document differs from an ordinary one in a few words, and a dictionary trained on all of its text spends
-its bytes on words that both classes have. So the training windows of the toxic class are single words and beginnings of
-words, those whose document frequency among toxic documents is at least ``lift`` times that among ordinary ones. Near copies among the
-training documents would make their own rare words look distinctive: a document that shares one of four minima of hashed
-word triples with an earlier one is left out of the fit. The trained toxic
-dictionary is followed by each of those units once, as the trainer cuts its segments across them.
-
-Only the fit is bounded: at most ``max_rows`` labelled documents of either class, without those of over ``max_chars``
-characters, in the order of a hash of their id. Scoring covers whole texts. Defined results: a null or empty text has no window, and
-gets the score of no evidence; without labelled rows of both classes every score is 0; repeated rows get equal scores.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text, and every window of a text is compressed
+with both. Which has the shorter output, and by how many bytes, is the evidence. How many windows pass each threshold of
+bytes, either way, is turned into a probability by a logistic calibration, fitted on labelled documents
+that the dictionaries at hand have not seen: the sample is dealt into ``FOLDS``, each is measured with dictionaries of the others,
+and the final dictionaries are of all.
+
+A toxic document differs from an ordinary one in a few places, and a dictionary trained on all of its text spends
+its bytes on what both classes have, so that chance decides which of the two matches a window better. So either dictionary has
+a small part trained on the places that are distinctive of its class, where every ``GRAM`` bytes are ``lift`` times as
+frequent as in the other class, in front of a common part, trained on windows of ordinary text. Near copies among the training documents would make their own
+rare words look distinctive: a document that shares one of four minima of hashed word triples with an earlier one is
+left out of the fit.
+
+Only the fit is bounded: at most ``max_rows`` labelled documents of either class, in the order of a hash of their id, and
+of a document of more than ``PIECES`` pieces of ``PIECE`` characters that many pieces, in the order of a hash. Scoring covers whole texts, which stay in their task. Defined results: a
+null or empty text has no window, and gets the score of no evidence; without labelled rows of both classes every score is 0; repeated rows get
+equal scores; an empty table gives no rows; ids and labels may be null (such rows teach nothing).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,21 +34,21 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 WINDOW, LEVEL, STEPS = 12, 9, 6
+GRAM, FOLDS, PIECE, PIECES = 8, 3, 4000, 16
+#: Bytes of the distinctive and of the common part of a dictionary.
+OWN, COMMON = 2 << 10, 64 << 10
+#: The compressor does not look for matches in the last bytes of its input; these stand there.
+_TAIL = bytes(range(1, 10))
 
 
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _windows(words: list[str], size: int) -> list[bytes]:
+def _windows(words: list[str], size: int = WINDOW) -> list[bytes]:
     return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, len(words), size)]
 
 
-def _units(word: str) -> list[str]:
-    """What may be distinctive of a word: all of it, and its beginning, where compounds share a stem."""
-    return [f" {word} ", *(f" {word[:k]}" for k in (4, 5, 6) if len(word) > k)]
-
-
 def _unlike(texts: list[str]) -> list[list[str]]:
     """The words of the texts, without those texts that look like copies of an earlier one."""
     seen: set[tuple[int, int]] = set()
@@ -73,7 +73,7 @@ class Model:
         """Function from text to probability; it holds compressors, so it is made where it runs."""
         if not self.weights:
             return lambda text: 0.0
-        plain, other = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        plain, other = _compressor(self.ordinary), _compressor(self.toxic)
         weights = np.array(self.weights)
         return lambda text: float(1 / (1 + np.exp(-np.clip(_features(_words(text or ""), plain, other) @ weights, -30, 30))))
 
@@ -87,9 +87,9 @@ def _compressor(raw: bytes):
 
 
 def _features(words: list[str], plain, other) -> np.ndarray:
-    saved = np.array([len(plain.compress(w)) - len(other.compress(w)) for w in _windows(words, WINDOW)] or [0])
-    over = np.array([(saved >= t).sum() for t in range(1, STEPS + 1)])
-    return np.concatenate([[1.0, max(0, saved.max())], np.log1p(over), np.sqrt(over / len(saved))])
+    saved = np.array([len(plain.compress(w + _TAIL)) - len(other.compress(w + _TAIL)) for w in _windows(words)] or [0])
+    counts = [np.array([(sign * saved >= t).sum() for t in range(1, STEPS + 1)]) for sign in (1, -1)]
+    return np.concatenate([[1.0, max(0, saved.max())], *[f for c in counts for f in (np.log1p(c), np.sqrt(c / len(saved)))]])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -114,8 +114,58 @@ def _train_dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 20_000, lift: float = 10.0, least: float = 0.01) -> Model:
-    """Dictionaries from two thirds of the sample and the calibration from the rest, at the classes' true proportion.
+def _grams(words: list[str]) -> tuple[bytes, np.ndarray]:
+    """The text of the words, and at each of its places the next GRAM bytes as a number."""
+    text = f" {' '.join(words)} ".encode()
+    x = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
+    n = max(0, len(x) - GRAM + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        h = (h << np.uint64(8)) | x[k : k + n]
+    return text, h
+
+
+def _counted(texts: list[list[str]], most: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Grams, documents that have each, occurrences (at most ``most`` of a document), and all places."""
+    keys, counts, places = [], [], 0
+    for words in texts:
+        _, h = _grams(words)
+        k, n = np.unique(h, return_counts=True)
+        keys.append(k)
+        counts.append(np.minimum(n, most).astype(np.uint8))
+        places += len(h)
+    keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, np.bincount(where), np.bincount(where, weights=np.concatenate(counts)), places
+
+
+def _distinctive(texts: list[list[str]], own, other, lift: float, least: float) -> list[bytes]:
+    """The places of the texts that grams distinctive of their class cover."""
+    at = np.minimum(np.searchsorted(other[0], own[0]), max(0, len(other[0]) - 1))
+    theirs = np.where(other[0][at] == own[0], other[2][at], 0) if len(other[0]) else np.zeros(len(own[0]))
+    wanted = own[0][(own[1] >= max(2, least * len(texts))) & (own[2] / max(1, own[3]) >= lift * (theirs + 0.5) / max(1, other[3]))]
+    out = []
+    for words in texts:
+        text, h = _grams(words)
+        begins = np.flatnonzero(np.isin(h, wanted))
+        covered = np.zeros(len(text) + 1, dtype=np.int64)
+        np.add.at(covered, begins, 1)
+        np.add.at(covered, begins + GRAM, -1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)))
+        out += [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return out
+
+
+def _dictionaries(ordinary: list[list[str]], toxic: list[list[str]], lift: float, least: float) -> tuple[bytes, bytes]:
+    counts = _counted(ordinary), _counted(toxic)
+    windows = [w for t in ordinary for w in _windows(t)]
+    # The trainer stops early where little repeats; text as it stands fills the part up.
+    common = (b"".join(windows)[:COMMON] + _train_dictionary(COMMON, windows, 24, 6))[-COMMON:]
+    places = _distinctive(ordinary, *counts, lift, least), _distinctive(toxic, *counts[::-1], lift, least)
+    return tuple(_train_dictionary(OWN, p, 16, 6)[-OWN:].rjust(OWN, b"\0") + common for p in places)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2000, lift: float = 10.0, least: float = 0.01) -> Model:
+    """Dictionaries and calibration from the sample, the latter at the classes' true proportion.
 
     The sample is drawn among ``labels`` (id, label), in the order of a hash of the id; only its texts, whose ids fit in
     a broadcast of fixed size, are read from ``docs``.
@@ -125,32 +175,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return Model()
     drawn = [rows.filter(F.col("y") == y).select("id", "y", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_rows) for y in (0, 1)]
-    texts = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col).cast("string")
+    places = F.array_sort(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE)), lambda k: F.struct(F.xxhash64(k).alias("h"), k.alias("k"))))
+    places = F.array_sort(F.transform(F.slice(places, 1, PIECES), lambda p: p["k"]))
+    pieces = F.array_join(F.transform(places, lambda k: F.substring(text, (k * PIECE + 1).cast("int"), F.lit(PIECE))), "")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), pieces.alias("text"))
     found = sorted((r["h"], r["text"], r["y"]) for r in texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").collect())
     return fit_texts([t for _, t, y in found if y == 0], [t for _, t, y in found if y == 1], counts[1] / (counts[0] + counts[1]), lift, least)
 
 
 def fit_texts(ordinary_texts: list[str], toxic_texts: list[str], share: float, lift: float = 10.0, least: float = 0.01) -> Model:
     """The model of two lists of texts, where toxic ones make up ``share`` of the documents to come."""
-    sample = {0: _unlike(ordinary_texts), 1: _unlike(toxic_texts)}
-    learn = {y: [t for k, t in enumerate(v) if k % 3] for y, v in sample.items()}
-    held = {y: [t for k, t in enumerate(v) if not k % 3] for y, v in sample.items()}
-    if not (learn[0] and learn[1] and held[0] and held[1]):
-        return Model()
-    seen = {y: Counter(u for t in v for u in {u for w in t for u in _units(w)}) for y, v in learn.items()}
-    n = {y: len(v) for y, v in learn.items()}
-    marks = {u for u, c in seen[1].items() if c >= max(2, least * n[1]) and c / n[1] >= lift * (seen[0][u] + 0.5) / n[0]}
-    if not marks:
+    sample = [_unlike(ordinary_texts), _unlike(toxic_texts)]
+    if min(map(len, sample)) < FOLDS:
         return Model()
-    ordinary = _train_dictionary(64 << 10, [w for t in learn[0] for w in _windows(t, WINDOW)], 24, 6)
-    found = [u.encode() for t in learn[1] for w in t for u in _units(w) if u in marks]
-    by_count = sorted(Counter(found).items(), key=lambda c: (c[1], c[0]))
-    toxic = _train_dictionary(4 << 10, found, 16, 6) + b"".join(u for u, _ in by_count)[-(4 << 10) :]
-    plain, other = _compressor(ordinary), _compressor(toxic + ordinary)
-    x = np.array([_features(t, plain, other) for y in (0, 1) for t in held[y]])
-    y = np.array([y for y in (0, 1) for _ in held[y]], dtype=float)
-    weight = np.where(y == 1, share / len(held[1]), (1 - share) / len(held[0])) * len(y)
-    return Model(ordinary, toxic, _logistic(x, y, weight).tolist())
+    x, y = [], []
+    for fold in range(FOLDS):
+        plain, other = map(_compressor, _dictionaries(*[[t for k, t in enumerate(v) if k % FOLDS != fold] for v in sample], lift, least))
+        for label, texts in enumerate(sample):
+            x += [_features(t, plain, other) for t in texts[fold::FOLDS]]
+            y += [label] * len(texts[fold::FOLDS])
+    y = np.array(y, dtype=float)
+    weight = np.where(y == 1, share / len(sample[1]), (1 - share) / len(sample[0])) * len(y)
+    return Model(*_dictionaries(*sample, lift, least), _logistic(np.array(x), y, weight).tolist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
