@@ -16,7 +16,8 @@ recurs costs a row for each document. Words of a document are read again only wh
 
 Defined results: null texts and texts without words are never hit, nor do items without words hit; an
 empty table gives no rows; rows that repeat a doc_id or have none are a document for each distinct text (named by its 64-bit
-hash ``th``), each with a row of its own in the result, and only those that hold a passage go.
+hash ``th``), each with a row of its own in the result, and only those that hold a passage go; texts of any length are read whole; of stretches with equal scores
+the one with more matches counts, then the one that begins first in the item.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
 
-#: Positions that each mask reads, of SPAN.
+#: Positions that each mask reads, of SPAN.
 MASKS, SPAN = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 6, 7, 8), (0, 1, 2, 5, 7, 8)), 9
-NARROW, WHOLE, SHARE, PHRASE = (0, 1, 3, 4, 6, 7), 20, 85, 5
+NARROW, WHOLE, SHARE, PHRASE, PERIODS = (0, 1, 3, 4, 6, 7), 20, 85, 5, 4
 BROADCAST_SEEDS, BROADCAST_DOCS = 2_000_000, 1_000_000
 LEAST_ID = -(1 << 63)
 
@@ -39,10 +40,21 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str], narrow: Column) -> DataFrame:
+def _inside_run(words: Column, at: Column) -> Column:
+    """Do the words from the place on repeat with a period of up to PERIODS, as do those up to it? What meets there also meets at the ends of the run."""
+    found = F.lit(False)
+    for q in range(1, PERIODS + 1):
+        same = F.slice(words, at + 1 - q, SPAN + q) == F.slice(words, at + 1, SPAN + q)
+        found = found | F.when((at >= q) & (at + SPAN + q <= F.size(words)) & (F.try_element_at(words, at + 1) == F.try_element_at(words, at + 1 + q)), same).otherwise(False)
+    return found
+
+
+def _seeds(rows: DataFrame, keep: list[str], narrow: Column, runs_cut: bool = False) -> DataFrame:
     """keep, ``at`` (the place) and ``seed`` for each mask at each place of ``words``; NARROW's only where ``narrow``."""
     span = F.when(narrow, NARROW[-1] + 1).otherwise(SPAN)
     places = rows.select(*keep, "words", narrow.alias("narrow"), F.explode(F.when(F.size("words") >= span, F.sequence(F.lit(0), F.size("words") - span))).alias("at"))
+    if runs_cut:
+        places = places.filter(~_inside_run(F.col("words"), F.col("at")))
     hashed = lambda mask, k: F.xxhash64(*[F.element_at("words", F.col("at") + (p + 1)) for p in mask], F.lit(k))
     wide, slim = [hashed(mask, k) for k, mask in enumerate(MASKS)], hashed(NARROW, len(MASKS))
     fits = F.col("at") <= F.size("words") - SPAN
@@ -100,18 +112,27 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     seeds = scratch.write(seeds, "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     read = doc.select(*key, words(F.col("text")).alias("words"))
-    places = _seeds(read, key, F.lit(narrow))
+    places = _seeds(read, key, F.lit(narrow), runs_cut=True)
     if sizes:
         places = places.union(_short(read, key, sizes))
     met = places.join(F.broadcast(seeds) if few else seeds, "seed")
-    aligned = scratch.write(met.select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "aligned")
+    aligned = scratch.write(met.select(*key, "item", (F.col("at") - F.col("item_at")).alias("shift")).groupBy(*key, "item").agg(F.collect_set("shift").alias("shifts")), "aligned")
+    scratch.drop("seeds")
     hit = aligned.select(*key).distinct()
     again = doc.join(F.broadcast(hit) if hit.count() <= BROADCAST_DOCS else hit, key, "left_semi").dropDuplicates(key).select(*key, words(F.col("text")).alias("words"))
-    found = aligned.join(again, key).join(items, "item").select(*key, "item", "item_id", F.size("item_words").alias("n"), F.size("words").alias("size"), _best_stretch(F.col("words"), F.col("item_words"), F.col("shift")).alias("s"))
-    enough = F.col("s.score") >= F.least(F.lit(min_score), F.col("n"))
-    share = (F.col("n") >= SPAN) & (F.col("n") < WHOLE) & (100 * F.col("s.all") >= SHARE * F.col("n"))
-    found = found.filter((enough | share) & ((F.col("n") >= PHRASE) | (F.col("size") == F.col("n"))))
-    return found.groupBy(*key, "item_id").agg(F.max(F.struct("s.score", "s.matches", (-F.col("s.start")).alias("back"), "s.end")).alias("s"))
+    n, size = F.size("item_words"), F.size("words")
+
+    def best(shift: Column) -> Column:
+        s = _best_stretch(F.col("words"), F.col("item_words"), shift)
+        return F.struct(s["score"].alias("score"), s["matches"].alias("matches"), (-s["start"]).alias("back"), s["end"].alias("end"), s["all"].alias("all"))
+
+    def enough(s: Column) -> Column:
+        share = (n >= SPAN) & (n < WHOLE) & (100 * s["all"] >= SHARE * n)
+        return ((s["score"] >= F.least(F.lit(min_score), n)) | share) & ((n >= PHRASE) | (size == n))
+
+    # A row for each pair: the shifts are at most as many as both have words, and words stand there once.
+    found = aligned.join(again, key).join(items, "item").select(*key, "item_id", F.array_max(F.filter(F.transform("shifts", best), enough)).alias("s")).filter("s is not null")
+    return found.groupBy(*key, "item_id").agg(F.max("s").alias("s"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -12,7 +12,7 @@ block in separate tasks. Of a block's links only the counts for each vector and
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null label or vectors of a
 different dimension than others; rows that repeat a vec_id are vectors of their own with that id; an empty table gives no rows.
-The fit's sample is bounded by ``sample`` rows; every row is in the index.
+The fit's sample is bounded by ``sample`` rows and ``SAMPLE_BYTES``; every row is in the index.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from tessera.llm.common import Scratch, components
 
 #: Rows of a block of a long list, and rows whose short lists are compared by one call.
 BLOCK, TOGETHER = 1024, 8192
+#: Bytes of doubles that the fit's sample has at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def rotations(x: np.ndarray, count: int, rounds: int = 50, seed: int = 11) -> list[np.ndarray]:
@@ -81,13 +83,15 @@ def links(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     for d, n in sorted(shape.items()):
         of = unique.filter(F.col("d") == d)
         bits, tables = plan(n, d, threshold, recall)
-        drawn = np.array([r["v"] for r in of.orderBy(F.xxhash64("node"), "node").select("v").limit(sample).collect()])
+        most = max(1, min(sample, SAMPLE_BYTES // (8 * d)))
+        drawn = of.orderBy(F.xxhash64("node"), "node").limit(most).select("v").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
         turns = rotations(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), -(-tables // (d // bits)))
         met = _met(of, spark.sparkContext.broadcast((turns, bits, tables)), threshold, scratch, d)
         edges.append(met.filter("kind = 1").select("a", "b"))
         counts.append(met.filter("kind = 0").select("a", F.col("b").alias("k")))
     joined = lambda frames: frames[0] if len(frames) == 1 else frames[0].union(joined(frames[1:]))
     reached = components(joined(edges)).select(F.col("node"), "component")
+    scratch.drop(*(f"entered{d}" for d in shape))
     more = joined(counts).groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("more"))
     nodes = unique.select("label", "v", "rep", "k", "node").join(reached, "node", "left").join(more, "node", "left")
     nodes = nodes.select("label", "v", "rep", F.coalesce("component", "node").alias("component"), (F.col("k") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))

@@ -41,7 +41,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
     for k, text in enumerate(texts):
         text = (text or "").lower()
         for at in range(0, len(text), PIECE):
-            skip = min(at, ORDERS - 1)
+            skip = at - _back(text, at)
             held.append((k, text[at - skip : at + PIECE], skip))
             size += len(held[-1][1])
             if size >= PIECE:
@@ -51,6 +51,15 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield _buckets(held)
 
 
+def _back(text: str, at: int) -> int:
+    """Where to begin so that ORDERS letters or whole runs of other characters stand before ``at``."""
+    seen = 0
+    while at > 0 and seen < ORDERS:
+        at -= 1
+        seen += text[at].isalpha() or at == 0 or text[at - 1].isalpha()
+    return at
+
+
 def _buckets(held: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(t for _, t, _ in held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lens = np.array([len(t) for _, t, _ in held])

@@ -7,8 +7,8 @@ tokens to a label are kept if their support and confidence suffice and no shorte
 They are matched by an inverted index: each rule stands under its rarest token, a url looks up the rules of its own
 tokens and takes the first in order of confidence, support, length and text whose tokens it has.
 
-Labels default to the verdicts of the given rules on the urls that they fit. The mined table is bounded: it has at most
-1/min_support tokens and, ``max_tokens`` to a rule, a number of rules that does not grow with the urls. Nothing but that
+Labels default to the verdicts of the given rules on the urls that they fit. The mined table is bounded: a rule has at most ``max_tokens``
+tokens that at least ``min_count`` urls and a ``min_support`` of all share, so its size does not grow with the urls. Nothing but that
 table leaves the executors, and judging is one pass without a shuffle.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and, like any url that no rule fits, the
@@ -17,8 +17,10 @@ Defined results: a null url, or one without ``://``, has an empty host and path
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,40 +68,73 @@ def tokens(url: str | None) -> list[str]:
     return sorted(out)
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = 0.005, min_confidence: float = 0.9, max_tokens: int = 3) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(tokens, label, confidence, support) of the mined rules, in the order in which they are tried."""
-    from pyspark.ml.fpm import FPGrowth
+def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = 0.005, min_confidence: float = 0.9, max_tokens: int = 3, min_count: int = 5) -> list[tuple[tuple[str, ...], str, float, float]]:
+    """(tokens, label, confidence, support) of the mined rules, in the order in which they are tried.
 
-    spark = labelled.sparkSession
+    FP-growth enumerates every subset of a frequent path, and Spark's has no bound on their length. So it runs once for each
+    length up to ``max_tokens``, over baskets of that many tokens of a url and its label; a path has at most one more item than that. Tokens
+    that are not frequent, or imply a label without exception (longer rules with them say nothing more), are left out of longer baskets.
+    """
 
-    def baskets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"items": [[*tokens(u), f"label={v}"] for u, v in zip(batch["url"], batch["label"], strict=True)]})
+            yield pd.DataFrame({"tokens": [tokens(u) for u in batch["url"]], "label": batch["label"]})
 
-    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(label_col).cast("string").alias("label"))
-    items = rows.mapInPandas(baskets, "items array<string>").persist()
+    rows = labelled.filter(F.col(label_col).isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("string").alias("label"))
+    rows = rows.mapInPandas(read, "tokens array<string>, label string").persist()
     try:
-        total = items.count()
-        if not total:
-            return []
-        frequent = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(items).freqItemsets
-        is_label = lambda x: x.startswith("label=")
-        sets = frequent.select(F.filter("items", lambda x: ~is_label(x)).alias("tokens"), F.filter("items", is_label).alias("labels"), "freq").filter((F.size("tokens") <= max_tokens) & (F.size("tokens") > 0))
-        sets = sets.select(F.array_sort("tokens").alias("tokens"), F.try_element_at("labels", F.lit(1)).alias("label"), "freq")
-        pairs = sets.filter("label is not null").alias("x").join(sets.filter("label is null").select("tokens", F.col("freq").alias("whole")).alias("y"), "tokens")
-        found = pairs.select("tokens", F.substring("label", 7, 1 << 20).alias("label"), (F.col("freq") / F.col("whole")).alias("confidence"), (F.col("freq") / F.lit(total)).alias("support")).filter(F.col("confidence") >= min_confidence).collect()
+        total = rows.count()
+        least = max(min_count, math.ceil(min_support * total))
+        found: dict[tuple[str, ...], dict[str, int]] = {}
+        useful: set[str] | None = None
+        for k in range(1, max_tokens + 1):
+            new = _frequent(rows, k, useful, least)
+            found |= new
+            sure = {t[0] for t, n in new.items() if k == 1 and n.get("", 0) in [c for v, c in n.items() if v]}
+            useful = {t for key in new for t in key} - sure
+            if len(useful) <= k:
+                break
     finally:
-        items.unpersist()
+        rows.unpersist()
     kept: dict[tuple[str, ...], tuple] = {}
-    for r in sorted(found, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        key = tuple(r["tokens"])
-        shorter = (tuple(t for t in key if t != drop) for drop in key)
-        subsets = [kept[s] for s in [*shorter, *((t,) for t in key)] if s in kept and s != key]
-        if not any(s[1] == r["label"] and s[2] >= r["confidence"] for s in subsets):
-            kept[key] = (key, r["label"], r["confidence"], r["support"])
+    for key in sorted(found, key=lambda t: (len(t), t)):
+        for label, n in sorted(found[key].items()):
+            confidence = n / found[key][""]
+            if not label or confidence < min_confidence:
+                continue
+            subsets = [kept[s] for size in range(1, len(key)) for s in combinations(key, size) if s in kept]
+            if not any(s[1] == label and s[2] >= confidence for s in subsets) and (key not in kept or confidence > kept[key][2]):
+                kept[key] = (key, label, confidence, n / total)
     return sorted(kept.values(), key=lambda r: (-r[2], -r[3], len(r[0]), r))
 
 
+def _frequent(rows: DataFrame, k: int, useful: set[str] | None, least: int) -> dict[tuple[str, ...], dict[str, int]]:
+    """The sets of k tokens that at least ``least`` urls have: label to number of urls, where it is ``least`` too, and "" to that of all."""
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = rows.select(F.col("tokens").alias("rest"), F.array().cast("array<string>").alias("items"), "label")
+    if useful is not None:
+        # A table of at most 1 / min_support tokens for each token of a url: part of the plan as one literal.
+        baskets = baskets.withColumn("rest", F.array_intersect("rest", F.lit(sorted(useful))))
+    for _ in range(k):
+        taken = baskets.select("rest", "items", "label", F.posexplode("rest").alias("at", "token"))
+        baskets = taken.select(F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), F.array_append("items", F.col("token")).alias("items"), "label")
+    baskets = baskets.select(F.array_append("items", F.concat(F.lit("label="), "label")).alias("items")).persist()
+    try:
+        count = baskets.count()
+        if count < least:
+            return {}
+        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / count, minConfidence=1.0).fit(baskets).freqItemsets
+        is_label = lambda x: x.startswith("label=")
+        sets = sets.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("tokens"), F.try_element_at(F.filter("items", is_label), F.lit(1)).alias("label"), "freq").filter(F.size("tokens") == k)
+        out: dict[tuple[str, ...], dict[str, int]] = {}
+        for r in sets.collect():
+            out.setdefault(tuple(r["tokens"]), {})["" if r["label"] is None else r["label"][6:]] = r["freq"]
+        return out
+    finally:
+        baskets.unpersist()
+
+
 def index(rules: list[tuple[tuple[str, ...], str, float, float]]) -> dict[str, list[int]]:
     """Rarest token of each rule to the rules' places."""
     often: dict[str, int] = {}

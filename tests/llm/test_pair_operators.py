@@ -229,6 +229,49 @@ def test_short_items_survive_substitutions(spark):
     assert {r["doc_id"] for r in decontamination.clean(df, bench, short_items=True).collect()} == {-1, -2, -3}
 
 
+def brute_overlaps(docs, items):
+    """(document, item) of all alignments at which a stretch, or 85 % of a short item, matches."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    hit = set()
+    for i, text in docs:
+        a = words(text)
+        for j, item in items:
+            b = words(item)
+            for shift in range(-len(b) + 1, len(a)):
+                same = [0 <= k + shift < len(a) and a[k + shift] == w for k, w in enumerate(b)]
+                inside = [s for k, s in enumerate(same) if 0 <= k + shift < len(a)]
+                best = score = 0
+                for s in inside:
+                    score = max(0, score + (1 if s else -2))
+                    best = max(best, score)
+                if len(b) >= 9 and (best >= min(13, len(b)) or len(b) < 20 and 100 * sum(same) >= 85 * len(b)):
+                    hit.add((i, j))
+    return hit
+
+
+def test_overlaps_equal_brute_force_with_runs_of_words(spark):
+    rng = random.Random(17)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou")
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((9, 12, 16, 25, 40))]
+    items += [(10, "la " * 30), (11, "la " * 12 + " ".join(word() for _ in range(9))), (12, "do re " * 12), (13, " ".join(word() for _ in range(6)) + " mi fa so" * 6)]
+    docs = []
+    for i in range(70):
+        w = [word() for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            lo = rng.randint(0, len(part) // 3)
+            part = part[lo : lo + rng.randint(9, 40)]
+            for _ in range(rng.randint(0, 3)):
+                part[rng.randrange(len(part))] = "other"
+            at = rng.randint(0, len(w))
+            w[at:at] = part
+        docs.append((i, " ".join(w)))
+    docs += [(100, "la " * 4000), (101, "la " * 50 + items[6][1]), (102, "do re " * 300), (103, "re do " * 7), (104, "mi fa so " * 50), (105, items[8][1] + " mi fa so" * 9), (106, "la " * 8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == brute_overlaps(docs, items)
+
+
 def test_clean_rows_without_an_id_of_their_own_stay(spark):
     rng = random.Random(12)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
@@ -251,8 +294,7 @@ def test_decontamination_stays_in_the_jvm(spark, sf):
 # conversations
 
 
-def test_maximal_conversations_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(chat, "BLOCK", 3)
+def test_maximal_conversations_equal_brute_force(spark):
     rng = random.Random(9)
     said = lambda: rng.choice(["hi", "yes", "no", None, ""])
     logs = {}
@@ -264,13 +306,17 @@ def test_maximal_conversations_equal_brute_force(spark, monkeypatch):
         logs[k] = turns + [(rng.choice(["user", "assistant", None]), said()) for _ in range(rng.randint(0 if turns else 1, 4))]
     rows = [(k, n, r, t, 5) for k, turns in logs.items() for n, (r, t) in enumerate(turns)]
     rng.shuffle(rows)
-    df = spark.createDataFrame([*rows, (None, 0, "user", "lone", 5), (99, None, "user", "x", 5)], "conv_id long, turn long, role string, text string, at int")
+    # Turns of one number, in order of role and text; rows without a conversation, one of them as a conversation has it.
+    logs |= {98: sorted([("user", f"x{k:03}") for k in range(60)] + [("user", "x007")] * 40), 99: [("user", "x")], 97: [("user", "y" * 100_000)]}
+    logs |= {"a": [("user", "lone")], "b": [("user", "lone")], "c": [("user", "x")], "d": [(None, None)], "e": [(None, "")]}
+    rows += [(k, None if k > 97 else 3, *t, 5) for k in (97, 98, 99) for t in logs[k]] + [(None, n, *logs[k][0], 5) for n, k in enumerate("abcde")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at int")
     found = chat.render(df).collect()
-    logs |= {None: [("user", "lone")], 99: [("user", "x")]}
+    logs = {(j if isinstance(j, int) else None, j): t for j, t in logs.items()}
     expected = set()
-    for k, turns in logs.items():
+    for (k, name), turns in logs.items():
         same = [j for j, t in logs.items() if t == turns]
-        if k == min(same, key=lambda j: (j is not None, j or 0)) and not any(len(t) > len(turns) and t[: len(turns)] == turns for t in logs.values()):
+        if (k, name) == min(same, key=lambda j: (j[0] is None, str(j[1]) if j[0] is None else j[0])) and not any(len(t) > len(turns) and t[: len(turns)] == turns for t in logs.values()):
             expected.add((k, len(turns), len(same), "".join(f"<|{r or ''}|>\n{t or ''}<|end|>\n" for r, t in turns)))
     assert {tuple(r) for r in found} == expected
     assert chat.render(df.limit(0)).count() == 0

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -170,6 +171,17 @@ def test_a_repeated_id_loses_nothing_by_another_of_its_texts(spark):
     assert sorted(r["text"] for r in line_dedup.dedup(df, line_dedup.Chunking(passages=True)).collect()) == ["", one, other]
 
 
+def test_chunks_that_share_a_hash_are_told_apart_by_text(spark):
+    rng = random.Random(31)
+    line = lambda: " ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(9))
+    passages = [[line() for _ in range(6)] for _ in range(5)]
+    docs = [(k, "\n".join([line(), *rng.choice(passages), line(), line()])) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda bits: sorted(tuple(r) for r in line_dedup.dedup(df, line_dedup.Chunking(bits=bits)).select("doc_id", "text").collect())
+    assert rows(3) == rows(128)
+    assert rows(128) != sorted(docs)
+
+
 # language and toxicity
 
 
@@ -206,12 +218,21 @@ def test_more_than_64_languages_are_learned(spark, monkeypatch, held):
 
 
 def test_pieces_keep_every_ngram(monkeypatch):
-    text = "Über die Straße, und weiter! " * 50
+    text = "Über die Straße, und weiter! -- 12 " * 50 + "," * 300 + "a.b" * 40
     whole = np.concatenate([b for b, _, _ in langid._pieces([text])])
-    monkeypatch.setattr(langid, "PIECE", 97)
-    cut = np.concatenate([b for b, _, _ in langid._pieces([text])])
-    assert abs(len(whole) - len(cut)) <= 3 * len(text) // 97
-    assert np.isin(cut, whole).mean() > 0.99
+    for piece in (1, 2, 97, 250):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        cut = np.concatenate([b for b, _, _ in langid._pieces([text])])
+        assert np.array_equal(np.sort(whole), np.sort(cut))
+
+
+def test_equal_rows_and_ties_of_languages(spark):
+    rows = [(1, "aaa", "b"), (2, "aaa", "a"), (1, "aaa", "b"), (2, "aaa", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [tuple(r) for r in langid.predict(df, langid.fit(df)).collect()]
+    assert len(found) == 4
+    assert {lang for _, lang, _ in found} == {"a"}
+    assert langid.predict(df.limit(0), langid.fit(df)).count() == 0
 
 
 def test_toxic_documents_score_higher(spark):
@@ -266,3 +287,37 @@ def test_given_and_mined_rules(spark):
     assert all(by_id == next(r["verdict"] for r in found if r["page_id"] == i) for i, by_id in brute.items())
     assert url_rules.mine(labelled.limit(0)) == []
     assert url_rules.judge(pages.limit(0), url_rules.RULES, mined).count() == 0
+
+
+def test_mined_rules_equal_those_of_all_subsets(spark):
+    rng = random.Random(21)
+    urls = []
+    for k in range(240):
+        words = [w for w in "abcdefgh" if rng.random() < 0.45]
+        label = "block" if {"a", "b"} <= set(words) or "c" in words and rng.random() < 0.9 else rng.choice(["allow", "allow", "block", None]) if "d" in words else "allow"
+        urls.append((f"http://h{k % 3}.x.net/{'/'.join(words)}?q={k}", label))
+    df = spark.createDataFrame([(*u, "t") for u in [*urls, (None, "block"), *urls[:5]]], "url string, label string, tokens string")
+    found = url_rules.mine(df, min_support=0.03, min_confidence=0.8)
+    baskets = [(frozenset(url_rules.tokens(u)), v) for u, v in [*urls, *urls[:5]] if v]
+    rules = {}
+    for size in (1, 2, 3):
+        for key in combinations(sorted({t for b, _ in baskets for t in b}), size):
+            having = [v for b, v in baskets if set(key) <= b]
+            for label in ("allow", "block"):
+                n = having.count(label)
+                if n < max(5, 0.03 * len(baskets)) or n / len(having) < 0.8:
+                    continue
+                shorter = [rules[s] for j in range(1, size) for s in combinations(key, j) if s in rules]
+                if not any(s[0] == label and s[1] >= n / len(having) for s in shorter):
+                    rules[key] = (label, n / len(having), n / len(baskets))
+    assert {r[0]: (r[1], round(r[2], 9), round(r[3], 9)) for r in found} == {k: (v[0], round(v[1], 9), round(v[2], 9)) for k, v in rules.items()}
+    assert len({len(r[0]) for r in found}) > 1
+    assert [r[2] for r in found] == sorted((r[2] for r in found), reverse=True)
+
+
+def test_long_urls_and_few_rows_are_mined_in_bounded_time(spark):
+    long_ = "http://h.example.net/" + "/".join(f"w{chr(97 + k % 26)}{k // 26}x" for k in range(60))
+    few = spark.createDataFrame([(f"{long_}/{'/'.join(f'z{k}y{j}' for j in range(200))}", "allow" if k else "block") for k in range(5)], "url string, label string")
+    assert all(len(r[0]) <= 3 for r in url_rules.mine(few))
+    more = spark.createDataFrame([(long_, "allow" if k % 2 else "block") for k in range(12)], "url string, label string")
+    assert url_rules.mine(more) == []
