@@ -184,6 +184,24 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert all(r["n_links"] == 69 for r in found)
 
 
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    one = rng.standard_normal((2000, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.standard_normal((2000, 64))
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9801, 0.985, (2000, 1))
+    other = cosine * one + np.sqrt(1 - cosine**2) * off
+    rows = [(k, 1, v.tolist()) for k, v in enumerate(np.concatenate([one, other]))] + [(0, 1, one[0].tolist())]
+    found = itq.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert len(found) == 4001
+    linked = sum(r["component_id"] == r["vec_id"] - 2000 for r in found if r["vec_id"] >= 2000)
+    assert linked >= 0.99 * 2000
+    # Rows that repeat a vec_id are vectors of their own with that id.
+    assert [r["n_links"] for r in found if r["vec_id"] == 0] == [2, 2]
+
+
 # decontamination
 
 
@@ -326,17 +344,47 @@ def test_maximal_conversations_equal_brute_force(spark):
 
 
 def test_the_forest_keeps_keys_and_drops_what_looks_like_them(spark):
-    labelled = secrets.findings(spark, 3000)
-    assert labelled.exceptAll(secrets.findings(spark, 3000)).count() == 0
+    labelled = secrets.findings(spark, 6000)
+    assert labelled.exceptAll(secrets.findings(spark, 6000)).count() == 0
     model = secrets.train(labelled.filter("id % 5 <> 0"), trees=12)
     from pyspark.ml.feature import VectorAssembler
 
     held = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.features(labelled.filter("id % 5 = 0"))))
     assert held.filter("prediction = label").count() >= 0.95 * held.count()
     key = "f3a9c1d2e4b5a6978877665544332211aabbccdd"
-    texts = [f'some words token = "{key}" and more', f"see commit {key} for more", f"call 4556737586899855 now", None, "", "nothing here", f'api_key: {key}\nagain secret="{key}"', "x" * 100_000 + " y"]
+    texts = [f'some words token = "{key}" and more', f"see commit {key} for more", "call 4556737586899855 now", None, "", "nothing here", f'api_key: {key}\nagain secret="{key}"', "x" * 100_000 + " y"]
     docs = spark.createDataFrame([(k, t, "src1", "w") for k, t in enumerate(texts)] + [(0, texts[0], None, "w")], "doc_id long, text string, source string, word string")
     found = [(r["doc_id"], r["candidate"]) for r in secrets.scan(docs, model).collect()]
     assert sorted(found) == [(0, key), (0, key), (6, key), (6, key)]
     assert secrets.scan(docs.limit(0), model).count() == 0
     assert not re.search("Python|Pandas|Arrow", secrets.scan(docs, model)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_planted_secrets_are_found_in_corpus_text_and_little_else(spark, sf):
+    """Secrets and what looks like them, made by other rules than the labelled findings, among the words of the corpus."""
+    rng = random.Random(23)
+    chars = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secret = [
+        lambda: f'token = "{chars(num + "abcdef", 40)}"', lambda: f"password={chars(low + up + num, 6)}!{chars(low + num, 4)}", lambda: f"api_key: {chars(low + up + num, 32)}", lambda: f'secret = "{chars(low + up, 24)}"',
+        lambda: f"AKIA{chars(up + num, 16)}", lambda: f"Bearer: eyJ{chars(low + up + num, 20)}.eyJ{chars(low + up + num, 40)}.{chars(low + up + num + '_-', 43)}", lambda: f"ghp_{chars(low + up + num, 36)}", lambda: f"passwd: '{chars(up + low + num, 12)}'",
+    ]
+    fake = [
+        lambda: f"commit {chars(num + 'abcdef', 40)}", lambda: f"uuid: {'-'.join(chars(num + 'abcdef', n) for n in (8, 4, 4, 4, 12))}", lambda: f"card {chars(num, 16)}", lambda: "password = ${DB_PASSWORD}", lambda: f"mail: {chars(low, 6)}.{chars(num, 2)}@mail.example.com",
+        lambda: "api_key=your_api_key_here", lambda: f"see /var/log/service/output/{chars(num, 4)}", lambda: "secret = xxxxxxxxxxxxxxxxxxxx",
+    ]
+    rows, planted = [], {}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("not coalesce(text, '') rlike '(?i)token'").select("text").limit(160).collect()
+    for k, r in enumerate(docs):
+        words = (r["text"] or "").split(" ")[:300]
+        made = rng.choice(secret)() if k % 2 else rng.choice(fake)()
+        words.insert(rng.randrange(len(words) + 1), made)
+        planted[k] = made
+        rows.append((k, " ".join(words), "src0"))
+    found = {}
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), secrets.train(secrets.findings(spark))).collect():
+        found.setdefault(r["doc_id"], []).append(r["candidate"])
+    caught = sum(any(c in planted[k] for c in found.get(k, [])) for k in planted if k % 2)
+    wrong = sum(len([c for c in v if not (k % 2 and c in planted[k])]) for k, v in found.items())
+    assert caught >= 0.9 * sum(k % 2 for k in planted)
+    assert wrong <= 0.05 * len(planted)
