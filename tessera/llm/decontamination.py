@@ -106,13 +106,13 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     named = items.withColumnRenamed("item_words", "words")
     long_, sizes = named.filter(F.size("words") >= SPAN), sorted(r["n"] for r in named.select(F.size("words").alias("n")).filter(F.col("n") < SPAN).distinct().collect())
     narrow = long_.filter(F.size("words") == SPAN).count() > 0
-    seeds = _seeds(long_, ["item"], F.size("words") == SPAN).withColumnRenamed("at", "item_at")
+    seeds = _seeds(long_, ["item"], F.size("words") == SPAN, runs_cut=True).withColumnRenamed("at", "item_at")
     if sizes:
         seeds = seeds.union(_short(named.filter(F.size("words") < SPAN), ["item"], sizes))
     seeds = scratch.write(seeds, "seeds")
     few = seeds.count() <= BROADCAST_SEEDS
     read = doc.select(*key, words(F.col("text")).alias("words"))
-    places = _seeds(read, key, F.lit(narrow), runs_cut=True)
+    places = _seeds(read, key, F.lit(narrow))
     if sizes:
         places = places.union(_short(read, key, sizes))
     met = places.join(F.broadcast(seeds) if few else seeds, "seed")

@@ -115,34 +115,41 @@ def _train_dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
 
 
 def _grams(words: list[str]) -> tuple[bytes, np.ndarray]:
-    """The text of the words, and at each of its places the next GRAM bytes as a number."""
+    """The text of the words, and at each of its places a 32-bit hash of the next GRAM bytes."""
     text = f" {' '.join(words)} ".encode()
     x = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
     n = max(0, len(x) - GRAM + 1)
     h = np.zeros(n, dtype=np.uint64)
     for k in range(GRAM):
         h = (h << np.uint64(8)) | x[k : k + n]
-    return text, h
-
-
-def _counted(texts: list[list[str]], most: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Grams, documents that have each, occurrences (at most ``most`` of a document), and all places."""
-    keys, counts, places = [], [], 0
-    for words in texts:
-        _, h = _grams(words)
-        k, n = np.unique(h, return_counts=True)
-        keys.append(k)
-        counts.append(np.minimum(n, most).astype(np.uint8))
-        places += len(h)
-    keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, np.bincount(where), np.bincount(where, weights=np.concatenate(counts)), places
-
-
-def _distinctive(texts: list[list[str]], own, other, lift: float, least: float) -> list[bytes]:
-    """The places of the texts that grams distinctive of their class cover."""
-    at = np.minimum(np.searchsorted(other[0], own[0]), max(0, len(other[0]) - 1))
-    theirs = np.where(other[0][at] == own[0], other[2][at], 0) if len(other[0]) else np.zeros(len(own[0]))
-    wanted = own[0][(own[1] >= max(2, least * len(texts))) & (own[2] / max(1, own[3]) >= lift * (theirs + 0.5) / max(1, other[3]))]
+    return text, ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+
+
+def _wanted(samples: list[list[list[str]]], lift: float, least: float, most: int = 8) -> list[np.ndarray]:
+    """For each of two classes, the grams that enough of its documents have and that are ``lift`` times as frequent as in the other (at most
+    ``most`` occurrences of a document count)."""
+    own: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    for texts in samples:
+        counted = [np.unique(_grams(words)[1], return_counts=True) for words in texts]
+        own.append([(k, np.minimum(n, most).astype(np.uint8)) for k, n in counted])
+    places = [max(1, sum(int(n.sum()) for _, n in o)) for o in own]
+    found: list[list[np.ndarray]] = [[], []]
+    # The last bits part the grams evenly; a part is sorted at a time.
+    for part in range(8):
+        tables = []
+        for o in own:
+            mine = [(k[at], n[at]) for k, n in o for at in [(k & np.uint32(7)) == part]]
+            keys, where = np.unique(np.concatenate([k for k, _ in mine]), return_inverse=True)
+            tables.append((keys, np.bincount(where), np.bincount(where, weights=np.concatenate([n for _, n in mine]))))
+        for y, ((keys, docs, times), (others, _, theirs)) in enumerate((tables, tables[::-1])):
+            at = np.minimum(np.searchsorted(others, keys), max(0, len(others) - 1))
+            there = np.where(others[at] == keys, theirs[at], 0) if len(others) else np.zeros(len(keys))
+            found[y].append(keys[(docs >= max(2, least * len(samples[y]))) & (times / places[y] >= lift * (there + 0.5) / places[1 - y])])
+    return [np.concatenate(f) for f in found]
+
+
+def _distinctive(texts: list[list[str]], wanted: np.ndarray) -> list[bytes]:
+    """The places of the texts that the wanted grams cover."""
     out = []
     for words in texts:
         text, h = _grams(words)
@@ -156,11 +163,11 @@ def _distinctive(texts: list[list[str]], own, other, lift: float, least: float)
 
 
 def _dictionaries(ordinary: list[list[str]], toxic: list[list[str]], lift: float, least: float) -> tuple[bytes, bytes]:
-    counts = _counted(ordinary), _counted(toxic)
     windows = [w for t in ordinary for w in _windows(t)]
     # The trainer stops early where little repeats; text as it stands fills the part up.
-    common = (b"".join(windows)[:COMMON] + _train_dictionary(COMMON, windows, 24, 6))[-COMMON:]
-    places = _distinctive(ordinary, *counts, lift, least), _distinctive(toxic, *counts[::-1], lift, least)
+    common = (b"".join(windows[: COMMON // WINDOW])[:COMMON] + _train_dictionary(COMMON, windows, 24, 6))[-COMMON:]
+    del windows
+    places = map(_distinctive, (ordinary, toxic), _wanted([ordinary, toxic], lift, least))
     return tuple(_train_dictionary(OWN, p, 16, 6)[-OWN:].rjust(OWN, b"\0") + common for p in places)
 
 
@@ -180,8 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     places = F.array_sort(F.transform(F.slice(places, 1, PIECES), lambda p: p["k"]))
     pieces = F.array_join(F.transform(places, lambda k: F.substring(text, (k * PIECE + 1).cast("int"), F.lit(PIECE))), "")
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), pieces.alias("text"))
-    found = sorted((r["h"], r["text"], r["y"]) for r in texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").collect())
-    return fit_texts([t for _, t, y in found if y == 0], [t for _, t, y in found if y == 1], counts[1] / (counts[0] + counts[1]), lift, least)
+    share = counts[1] / (counts[0] + counts[1])
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = sorted(row for batch in batches for row in zip(batch["h"], batch["text"], batch["y"], strict=True))
+        model = fit_texts([t for _, t, y in found if y == 0], [t for _, t, y in found if y == 1], share, lift, least)
+        yield pd.DataFrame({"ordinary": [model.ordinary], "toxic": [model.toxic], "weights": [model.weights]})
+
+    # The bounded sample goes to one task, not to the driver.
+    sample = texts.join(F.broadcast(drawn[0].union(drawn[1])), "id").select("h", "text", "y").repartition(1)
+    made = sample.mapInPandas(learn, "ordinary binary, toxic binary, weights array<double>").collect()
+    return Model(bytes(made[0]["ordinary"]), bytes(made[0]["toxic"]), list(made[0]["weights"])) if made else Model()
 
 
 def fit_texts(ordinary_texts: list[str], toxic_texts: list[str], share: float, lift: float = 10.0, least: float = 0.01) -> Model:
