@@ -51,7 +51,7 @@ class WordTokens(dict):
     encoder out when one token of the vocabulary does not.
     """
 
-    def __init__(self, tokenizer, ranks: dict[bytes, int] | None, ids: dict[bytes, int] | None, most: int = 500_000) -> None:
+    def __init__(self, tokenizer, ranks: dict[bytes, int] | None, ids: dict[bytes, int] | None, most: int = 150_000) -> None:
         super().__init__()
         self.tokenizer, self.most, self.merger = tokenizer, most, None
         if ranks:

@@ -43,7 +43,7 @@ from tessera.llm.common import Scratch, checkpointed, components
 
 MAX_FREQUENT, FREQUENT_FROM, MAX_LIGHT = 4_000_000, 6, 16
 #: Bytes of a member's hash that counting goes by, members that one counting group adds up, and members that one comparison holds.
-KEY_BYTES, COUNTED, HELD = 6, 4_000_000, 500_000
+KEY_BYTES, COUNTED, HELD = 6, 2_000_000, 500_000
 #: Rows (about 40 bytes each) up to which a broadcast of the wanted names replaces a shuffle of all texts.
 BROADCAST_ROWS = 500_000
 LEAST_ID = -(1 << 63)
