@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from enum import IntEnum
 
 
@@ -33,6 +34,17 @@ class EngineError(Exception):
             self.status = status
 
 
+def as_engine_error(error: Exception) -> EngineError:
+    """An error of Spark's as one of ours: what a value did wrong is an argument's fault, all else is an IO error."""
+    from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException
+
+    if isinstance(error, EngineError):
+        return error
+    text = str(error)
+    wrong = isinstance(error, (AnalysisException, ArithmeticException, NumberFormatException)) or re.search("OVERFLOW|DIVIDE_BY_ZERO|ArithmeticException|CAST_INVALID_INPUT|OUT_OF_RANGE", text)
+    return EngineError(text.splitlines()[0] if text else type(error).__name__, Status.INVALID_ARGUMENT if wrong else Status.IO_ERROR)
+
+
 class ParseError(EngineError):
     """Text that is not in the dialect; says where it stops being."""
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.engine import Engine
 from tessera.errors import EngineError
 from tessera.operators import logreplay
+from tessera.store import tables
 from tessera.store.locks import LockTable
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -25,7 +26,11 @@ def open_engine(spark: SparkSession, sf_dir: str, folder: bool = False) -> Engin
     """An engine with the tables registered; with a new folder of its own, where the cluster shares one, if asked."""
     root = None
     if folder:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not shared:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tessera-")
         root = f"{shared}/engine-{uuid.uuid4().hex}"
     engine = Engine(spark, root)
     for name in TABLES:
@@ -43,9 +48,10 @@ def dialect(sql: str, *names: str, strategy: str | None = None) -> Callable[[Spa
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = open_engine(spark, sf_dir)
-    _decimals(engine, "lineitem", "l_quantity")
+    # The filter reads the stored column, so that it is pushed to the scan; only the sum is of decimals.
+    engine.register("lineitem", engine.read("lineitem").withColumn("q_exact", F.col("l_quantity").cast("decimal(18,2)")))
     found = engine.execute(
-        "SELECT l_returnflag, COUNT(*), SUM(l_quantity), AVG(l_discount), MIN(o_orderkey), MAX(o_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+        "SELECT l_returnflag, COUNT(*), SUM(q_exact), AVG(l_discount), MIN(o_orderkey), MAX(o_orderkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
         "WHERE o_totalprice > 1000 AND l_quantity < 30 GROUP BY l_returnflag ORDER BY l_returnflag LIMIT 10"
     ).toDF("l_returnflag", "n", "q", "d", "mn", "mx")
     return found.select("l_returnflag", "n", F.col("q").cast("double").alias("q"), F.round("d", 4).alias("d"), "mn", "mx")
@@ -182,6 +188,45 @@ def catalog_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("orders", open_engine(spark, sf_dir).analyze("orders"))], "table_name string, n long")
 
 
+def catalog_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = open_engine(spark, sf_dir, folder=True)
+    for table, column in (("nation", "n_regionkey"), ("orders", "o_custkey"), ("orders", "o_orderkey"), ("region", "r_regionkey")):
+        engine.create_index(table, column)
+    engine.drop_index("region")
+    return engine.list_indexes()
+
+
+def index_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = open_engine(spark, sf_dir, folder=True)
+    engine.create_index("nation", "n_regionkey")
+    engine.drop_index("nation")
+    return engine.lookup("nation", "n_regionkey = 2").select("n_nationkey")
+
+
+def failed_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value that does not fit is a status; nothing of its statement stays, and the table can be written on."""
+    engine = _copied(spark, sf_dir, "region")
+    codes = [engine.execute_update(s).name for s in ("INSERT INTO region VALUES (3000000000, 'x')", "DELETE FROM region WHERE 1 / (r_regionkey - r_regionkey) > 0", "INSERT INTO region VALUES (9, 'y')")]
+    rows = engine.execute("SELECT COUNT(*) FROM region").first()[0]
+    return spark.createDataFrame([(*codes, len(engine.active_transactions()), rows)], "overflow string, division string, insert_ string, open_ int, n long")
+
+
+def catalog_cardinality_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _copied(spark, sf_dir, "nation")
+    before = engine.cardinality("nation")
+    engine.execute("DELETE FROM nation WHERE n_regionkey = 2")
+    return spark.createDataFrame([("nation", before, engine.cardinality("nation"))], "table_name string, n long, after_ long")
+
+
+def checkpoint_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enough commits for a checkpoint, then a read of what it and the entries since say."""
+    engine = _copied(spark, sf_dir, "region")
+    for k in range(tables.CHECKPOINT_EVERY):
+        engine.execute(f"DELETE FROM region WHERE r_regionkey = {k}") if k < 3 else engine.execute(f"CREATE TABLE t{k} (a INT)")
+    again = Engine(spark, engine.store.files.root)
+    return again.execute("SELECT * FROM region").withColumn("checkpoints", F.lit(len(again.store.log.checkpoints()) > 0))
+
+
 def catalog_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _copied(spark, sf_dir, "region")
     return Engine(spark, engine.store.files.root).execute("SELECT * FROM region")
@@ -270,6 +315,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_tables": catalog_tables,
         "catalog_schema": lambda spark, d: open_engine(spark, d).table_schema("region"),
         "catalog_cardinality": catalog_cardinality,
+        "catalog_cardinality_kept": catalog_cardinality_kept,
+        "catalog_indexes": catalog_indexes,
+        "index_dropped": index_dropped,
+        "failed_insert": failed_insert,
+        "checkpoint_written": checkpoint_written,
         "catalog_reload": catalog_reload,
         "script_run": script_run,
         "recovery_reopen": recovery_reopen,
@@ -345,6 +395,11 @@ _SQL = {
     "catalog_schema": "SELECT * FROM (VALUES ('region', 'r_regionkey', 'INT', FALSE), ('region', 'r_name', 'VARCHAR', FALSE)) t(table_name, column_name, type_name, is_pk)",
     "catalog_cardinality": "SELECT 'orders' AS table_name, COUNT(*) AS n FROM orders",
     "catalog_reload": 'SELECT * FROM region',
+    "catalog_cardinality_kept": "SELECT 'nation' AS table_name, COUNT(*) AS n, COUNT(*) FILTER (WHERE n_regionkey <> 2) AS after_ FROM nation",
+    "catalog_indexes": "SELECT * FROM (VALUES ('nation', 'n_regionkey'), ('orders', 'o_orderkey')) t(table_name, column_name)",
+    "index_dropped": 'SELECT n_nationkey FROM nation WHERE n_regionkey = 2',
+    "failed_insert": "SELECT 'INVALID_ARGUMENT' AS overflow, 'INVALID_ARGUMENT' AS division, 'OK' AS insert_, 0 AS open_, COUNT(*) + 1 AS n FROM region",
+    "checkpoint_written": 'SELECT *, TRUE AS checkpoints FROM region WHERE r_regionkey >= 3',
     "script_run": "SELECT * FROM (VALUES (1, 'a;b'), (2, 'c--d')) t(id, v)",
     "pk_lookup": 'SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7',
     "recovery_reopen": 'SELECT * FROM nation WHERE n_regionkey <> 2',

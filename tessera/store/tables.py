@@ -21,6 +21,10 @@ from tessera.store.log import Log, TableState, apply
 
 TYPES = {"INT": T.IntegerType(), "FLOAT": T.FloatType(), "BOOL": T.BooleanType(), "VARCHAR": T.StringType()}
 FILE, ROW = "_file", "_row"
+#: Commits after which the tables' state is written down, so that a reader replays at most as many entries.
+CHECKPOINT_EVERY = 20
+#: Seconds after which a version that was claimed but not published counts as given up; publishing takes one rename.
+CLAIM_SECONDS = 60.0
 
 
 def schema_of(columns: list[dict]) -> T.StructType:
@@ -71,6 +75,9 @@ class Store:
         while True:
             last = self.log.last()
             try:
+                lost = [a["path"] for a in txn.actions if "path" in a and not self.files.exists(a["path"])]
+                if lost:
+                    raise EngineError(f"files of the transaction are gone: {', '.join(lost)}", Status.IO_ERROR)
                 for version in range(seen + 1, last + 1):
                     self._check(txn, version)
             except EngineError:
@@ -80,6 +87,8 @@ class Store:
             if self.log.append(last + 1, {"txn": txn.id, "kind": "COMMIT", "actions": txn.actions}):
                 txn.state = "COMMITTED"
                 self.active.pop(txn.id, None)
+                if (last + 1) % CHECKPOINT_EVERY == 0:
+                    self.log.checkpoint(last + 1)
                 return last + 1
             if self.log.last() == last:
                 raise EngineError("another writer holds the next version; recover() clears one that died there", Status.IO_ERROR)
@@ -169,10 +178,12 @@ class Store:
         state = self.table(name, txn)
         made = coerced(rows, state.columns)
         path = self._new_path(state, "rows")
-        made.write.parquet(self.files.at(path))
         try:
+            keys = [c["name"] for c in state.columns if c["primary_key"]]
+            # In the order of the key, so that the statistics of a file's row groups tell its ranges apart.
+            write_ordered(made, self.files.at(path), keys[0]) if keys else made.write.parquet(self.files.at(path))
             self._check_new(name, state, self._rows(state.columns, [path]), txn)
-        except EngineError:
+        except BaseException:
             self.files.delete(path)
             raise
         txn.actions.append({"do": "add", "table": name, "path": path})
@@ -186,8 +197,12 @@ class Store:
             quoted = [F.col(f"`{k}`") for k in keys]
             if not new.groupBy(*quoted).count().filter("count > 1").isEmpty():
                 raise DuplicateKey(f"two new rows of {name} with one key")
-            if state.added and not new.join(self.snapshot(name, txn), keys, "left_semi").isEmpty():
-                raise DuplicateKey(f"{name} has a row with this key")
+            if state.added:
+                # The range of the new keys is pushed to the scan of the old ones.
+                low, high = new.agg(F.min(quoted[0]), F.max(quoted[0])).first()
+                old = self.snapshot(name, txn).filter(quoted[0].between(F.lit(low), F.lit(high))) if low is not None else self.snapshot(name, txn)
+                if not new.join(old, keys, "left_semi").isEmpty():
+                    raise DuplicateKey(f"{name} has a row with this key")
 
     def delete(self, txn: Txn, name: str, condition: Column | None) -> int:
         """Remove the rows for which the condition is true; how many there were."""
@@ -195,7 +210,11 @@ class Store:
         rows = self.snapshot(name, txn, with_rid=True).alias(name)
         gone = (rows if condition is None else rows.filter(condition)).select(FILE, ROW)
         path = self._new_path(state, "gone")
-        gone.write.parquet(self.files.at(path))
+        try:
+            gone.write.parquet(self.files.at(path))
+        except BaseException:
+            self.files.delete(path)
+            raise
         count = self._removals([path]).count()
         if count:
             txn.actions.append({"do": "remove", "table": name, "path": path})
@@ -212,37 +231,42 @@ class Store:
 
     # upkeep
 
-    def vacuum(self, keep_from: int | None = None) -> list[str]:
-        """Delete the files that no version from ``keep_from`` (by default the last) on reads, and none of an active transaction."""
+    def vacuum(self, keep_from: int | None = None, grace: float = 86_400.0) -> list[str]:
+        """Delete the files that no version from ``keep_from`` (by default the last) on reads, and none of an active transaction; of those
+        that no commit names, only such as are older than ``grace`` seconds."""
         last = self.log.last()
         versions = range(last if keep_from is None else keep_from, last + 1)
         needed = {p for v in versions for t in self.log.state(v).values() for p in (*t.added, *t.removed)}
         needed |= {p for txn in self.active.values() for t in self.tables(txn).values() for p in (*t.added, *t.removed)}
-        return self._sweep(needed)
+        return self._sweep(needed, grace)
+
+    def _named(self) -> set[str]:
+        return {a["path"] for v in self.log.versions() for a in (self.log.entry(v) or {"actions": []})["actions"] if "path" in a}
 
-    def _sweep(self, needed: set[str]) -> list[str]:
-        dropped = []
+    def _sweep(self, needed: set[str], grace: float) -> list[str]:
+        dropped, named = [], self._named()
         for table in self.files.names("tables"):
             for name in self.files.names(f"tables/{table}"):
                 path = f"tables/{table}/{name}"
-                if path not in needed:
+                if path not in needed and (path in named or grace <= 0 or self.files.age(path) >= grace):
                     self.files.delete(path)
                     dropped.append(path)
         return dropped
 
-    def recover(self) -> dict[str, list]:
-        """What a crash left: a torn last entry goes, and so do files of transactions that never published theirs."""
+    def recover(self, grace: float = 0.0) -> dict[str, list]:
+        """What a crash left: a torn last entry goes, and so do files of transactions that never published theirs. Whatever is younger
+        than ``grace`` seconds may be a live writer's and stays."""
         torn = []
         for name in self.files.names("log"):
-            if name.endswith(".draft") or (name.endswith(".claim") and not self.files.exists(f"log/{name[:-6]}")):
+            unpublished = name.endswith(".draft") or (name.endswith(".claim") and not self.files.exists(f"log/{name[:-6]}"))
+            if unpublished and (grace <= 0 or self.files.age(f"log/{name}") >= min(grace, CLAIM_SECONDS)):
                 self.files.delete(f"log/{name}")
         last = self.log.last()
         if last and self.log.entry(last) is None:
             torn.append(last)
             self.files.delete(f"log/{last:020d}.json")
             self.files.delete(f"log/{last:020d}.json.claim")
-        named = {a["path"] for v in self.log.versions() for a in self.log.entry(v)["actions"] if "path" in a}
-        losers = self._sweep(named | {p for t in self.active.values() for a in t.actions if "path" in a for p in [a["path"]]})
+        losers = self._sweep(self._named() | {p for t in self.active.values() for a in t.actions if "path" in a for p in [a["path"]]}, grace)
         return {"torn": torn, "undone": losers}
 
 

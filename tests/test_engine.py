@@ -171,12 +171,13 @@ def test_reopen_recovers(spark, people):
     lost = people.session()
     lost.begin()
     lost.execute("INSERT INTO people (id, name) VALUES (6, 'lost')")
-    again = Engine(spark, root)
+    assert Engine(spark, root).recovered["undone"] == []
+    again = Engine(spark, root, grace=0)
     assert len(again.recovered["undone"]) == 1
     assert again.execute("SELECT id FROM people").count() == 3
     last = again.store.log.last()
     again.store.files._fs.create(again.store.files._path(f"log/{last + 1:020d}.json"), True).close()  # a torn entry
-    third = Engine(spark, root)
+    third = Engine(spark, root, grace=0)
     assert third.recovered["torn"] == [last + 1]
     third.execute("INSERT INTO people (id, name) VALUES (7, 'new')")
     assert third.store.snapshot("people", version=last).count() == 3
@@ -233,3 +234,82 @@ def test_command_line(people, tmp_path):
 def test_directions_for_each_key(people):
     found = people.execute("SELECT ok, id FROM people ORDER BY ok, id", directions=[False, True]).collect()
     assert [r["id"] for r in found] == [2, 3, 1]
+
+
+def test_opening_and_vacuuming_leave_live_writers_alone(spark, people):
+    writer = people.session()
+    writer.begin()
+    writer.execute("INSERT INTO people (id, name) VALUES (6, 'alive')")
+    other = Engine(spark, people.store.files.root)
+    assert other.recovered["undone"] == other.vacuum() == []
+    writer.commit()
+    assert sorted(r["id"] for r in Engine(spark, people.store.files.root).execute("SELECT id FROM people").collect())[-1] == 6
+
+
+def test_a_commit_whose_files_are_gone_fails_as_a_whole(people):
+    writer = people.session()
+    writer.begin()
+    writer.execute("INSERT INTO people (id, name) VALUES (6, 'x')")
+    people.store.files.delete(next(a["path"] for a in writer.txn.actions if "path" in a))
+    before = people.store.log.last()
+    with pytest.raises(EngineError) as e:
+        writer.commit()
+    assert e.value.status.name == "IO_ERROR"
+    assert people.store.log.last() == before
+    assert people.active_transactions() == []
+
+
+def test_errors_of_values_are_statuses_and_leave_nothing_behind(people):
+    files = lambda: sorted(f"{t}/{n}" for t in people.store.files.names("tables") for n in people.store.files.names(f"tables/{t}"))
+    before = files()
+    for text in ("INSERT INTO people (id, name) VALUES (3000000000, 'x')", "DELETE FROM people WHERE 1 / (id - id) > 0", "INSERT INTO people (id) VALUES ('x')", "DELETE FROM nowhere"):
+        assert people.execute_update(text).name in ("INVALID_ARGUMENT", "TYPE_MISMATCH", "NOT_FOUND")
+        assert people.active_transactions() == []
+    assert files() == before
+    assert people.execute("SELECT id FROM people").count() == 3
+
+
+def test_counts_follow_writes_and_registrations(spark, people):
+    assert people.cardinality("people") == 3
+    people.execute("DELETE FROM people WHERE id = 1")
+    assert people.cardinality("people") == 2
+    people.register("seen", spark.range(4))
+    assert people.cardinality("seen") == 4
+    people.register("seen", spark.range(5))
+    assert people.cardinality("seen") == 5
+
+
+def test_indexes_are_made_again_listed_and_dropped(engine, spark, sf):
+    engine.register("orders", f"{sf}/orders.parquet")
+    rows = engine.read("orders").count()
+    for column in ("o_orderkey", "o_orderkey", "o_custkey"):
+        engine.create_index("orders", column)
+        assert engine.read("orders").count() == rows
+    assert engine.open_index("orders").column == "o_custkey"
+    assert [tuple(r) for r in engine.list_indexes().collect()] == [("orders", "o_custkey")]
+    engine.drop_index("orders")
+    assert engine.read("orders").count() == rows
+    assert engine.list_indexes().count() == 0
+    with pytest.raises(EngineError):
+        engine.open_index("orders")
+
+
+def test_redo_needs_no_sort_and_a_checkpoint_says_who_is_active(spark):
+    from tessera.operators import logreplay
+
+    rows = [(1, 1, "UPDATE", 7, 10, None), (2, 4, "INSERT", 9, 1, None), (3, 5, "COMMIT", None, None, None), (4, None, "CHECKPOINT", None, None, [4, 6]), (5, 2, "INSERT", 8, 5, None), (6, 3, "DELETE", 7, None, None), (7, 3, "COMMIT", None, None, None)]
+    log = spark.createDataFrame(rows, "lsn long, txn long, kind string, rid long, val long, active array<long>")
+    assert {(r["txn"], r["outcome"]) for r in logreplay.analysis(log).collect()} == {(2, "ACTIVE"), (3, "COMMITTED"), (4, "ACTIVE"), (5, "COMMITTED"), (6, "ACTIVE")}
+    assert {(r["txn"], r["outcome"]) for r in logreplay.analysis(log.drop("active")).collect()} == {(1, "ACTIVE"), (2, "ACTIVE"), (3, "COMMITTED"), (4, "ACTIVE"), (5, "COMMITTED")}
+    assert {(r["txn"], r["outcome"]) for r in logreplay.analysis(log.filter("lsn < 4")).collect()} == {(1, "ACTIVE"), (4, "ACTIVE"), (5, "COMMITTED")}
+    assert logreplay.redo(log).count() == 0
+    assert {tuple(r) for r in logreplay.undo(log).collect()} == {(2, 1), (4, 1)}
+    assert "SortAggregate" not in logreplay.redo(log)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_flagship_pushes_its_filters(spark, sf):
+    from tessera.plans import catalogue
+
+    plan = catalogue.queries()["flagship"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(l_quantity,30.0)" in plan
+    assert "GreaterThan(o_totalprice,1000.0)" in plan
