@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 WINDOW, LEVEL, STEPS = 12, 9, 6
-GRAM, FOLDS, PIECE, PIECES = 8, 3, 4000, 16
-#: Bytes of the distinctive and of the common part of a dictionary.
-OWN, COMMON = 2 << 10, 64 << 10
+GRAM, MARGIN, FOLDS, PIECE, PIECES = 7, 1, 3, 4000, 16
+#: Bytes of the distinctive and of the common part of a dictionary; sizes of segments to make the former of.
+OWN, COMMON, SEGMENTS = 2 << 10, 64 << 10, (16, 24, 32, 48, 64, 128)
 #: The compressor does not look for matches in the last bytes of its input; these stand there.
 _TAIL = bytes(range(1, 10))
 
@@ -82,8 +82,13 @@ def _compressor(raw: bytes):
     import zstandard
 
     data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+    # Longer searches than the level's own, which reach the front of the dictionary, and no matches of a few bytes, which any text has.
+    params = zstandard.ZstdCompressionParameters(
+        window_log=18, chain_log=18, hash_log=17, search_log=8, min_match=7, target_length=32, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    data.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=data)
 
 
 def _features(words: list[str], plain, other) -> np.ndarray:
@@ -93,23 +98,39 @@ def _features(words: list[str], plain, other) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps; the intercept is not shrunk."""
-    w, shrink = np.zeros(x.shape[1]), ridge * np.r_[0.0, np.ones(x.shape[1] - 1)]
-    for _ in range(30):
+    """Newton steps, halved while they make the fit worse; the intercept is not shrunk."""
+    shrink = ridge * np.r_[0.0, np.ones(x.shape[1] - 1)]
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (shrink * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink) + 1e-9 * np.eye(len(w)), x.T @ (weight * (y - p)) - shrink * w)
+        before = loss(w)
+        while np.abs(step).max() >= 1e-6 and loss(w + step) > before:
+            step /= 2
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _train_dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
-    """A trained dictionary; of few samples, which the trainer refuses, the distinct samples themselves."""
+def _train_dictionary(size: int, samples: list[bytes], segments: tuple[int, ...], d: int) -> bytes:
+    """A trained dictionary: the fullest, as the trainer may give up early on small segments; of few samples, which
+    it refuses, the distinct samples themselves."""
     import zstandard
 
+    best = b""
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL).as_bytes()
+        for k in segments:
+            made = zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL).as_bytes()
+            best = made if len(made) > len(best) else best
+            if len(best) >= size:
+                break
+        return best
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -155,8 +176,8 @@ def _distinctive(texts: list[list[str]], wanted: np.ndarray) -> list[bytes]:
         text, h = _grams(words)
         begins = np.flatnonzero(np.isin(h, wanted))
         covered = np.zeros(len(text) + 1, dtype=np.int64)
-        np.add.at(covered, begins, 1)
-        np.add.at(covered, begins + GRAM, -1)
+        np.add.at(covered, np.maximum(0, begins - MARGIN), 1)
+        np.add.at(covered, np.minimum(len(text), begins + GRAM + MARGIN), -1)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]]).astype(np.int8)))
         out += [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return out
@@ -165,13 +186,14 @@ def _distinctive(texts: list[list[str]], wanted: np.ndarray) -> list[bytes]:
 def _dictionaries(ordinary: list[list[str]], toxic: list[list[str]], lift: float, least: float) -> tuple[bytes, bytes]:
     windows = [w for t in ordinary for w in _windows(t)]
     # The trainer stops early where little repeats; text as it stands fills the part up.
-    common = (b"".join(windows[: COMMON // WINDOW])[:COMMON] + _train_dictionary(COMMON, windows, 24, 6))[-COMMON:]
+    common = (b"".join(windows[: COMMON // WINDOW])[:COMMON] + _train_dictionary(COMMON, windows, (24,), 6))[-COMMON:]
     del windows
-    places = map(_distinctive, (ordinary, toxic), _wanted([ordinary, toxic], lift, least))
-    return tuple(_train_dictionary(OWN, p, 16, 6)[-OWN:].rjust(OWN, b"\0") + common for p in places)
+    # A document's places are one sample: the trainer counts in how many samples a string stands.
+    places = [[b"".join(_distinctive([t], w)) for t in v] for v, w in zip((ordinary, toxic), _wanted([ordinary, toxic], lift, least), strict=True)]
+    return tuple(_train_dictionary(OWN, [s for s in p if s], SEGMENTS, 6)[-OWN:].rjust(OWN, b"\0") + common for p in places)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2000, lift: float = 10.0, least: float = 0.01) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 2000, lift: float = 10.0, least: float = 0.05) -> Model:
     """Dictionaries and calibration from the sample, the latter at the classes' true proportion.
 
     The sample is drawn among ``labels`` (id, label), in the order of a hash of the id; only its texts, whose ids fit in
@@ -200,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(bytes(made[0]["ordinary"]), bytes(made[0]["toxic"]), list(made[0]["weights"])) if made else Model()
 
 
-def fit_texts(ordinary_texts: list[str], toxic_texts: list[str], share: float, lift: float = 10.0, least: float = 0.01) -> Model:
+def fit_texts(ordinary_texts: list[str], toxic_texts: list[str], share: float, lift: float = 10.0, least: float = 0.05) -> Model:
     """The model of two lists of texts, where toxic ones make up ``share`` of the documents to come."""
     sample = [_unlike(ordinary_texts), _unlike(toxic_texts)]
     if min(map(len, sample)) < FOLDS:
