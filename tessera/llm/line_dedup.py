@@ -1,21 +1,28 @@
 """Line dedup by content-defined line chunks.
 
-A text is a sequence of lines. A hash rolls over the hashes of the last ``window`` lines, and a chunk ends after every
-line where it falls into one of ``divisor`` classes. So boundaries depend on the lines near them alone, and an inserted
+A text is a sequence of lines. A hash rolls over the hashes of the last ``window`` lines, and a chunk may end after every
+line where it falls into one of ``divisor`` classes. It ends there if the lines since the last such line are two at least and have
+``min_words`` words, whether or not a chunk ended at that one. So boundaries depend on the lines near them alone, and an inserted
 or removed line moves no boundary but its neighbours'. A line of more than ``long_line`` words is a chunk of its own
 and also ends the chunk before it, so that a passage in one line is found whatever stands around it; ``max_lines`` bounds
-a chunk. Chunks of at least two lines and ``min_words`` words, and long lines, are compared over all documents.
-
-With ``passages`` (as in the query and the pipeline), passages are compared too: from each line on, the fewest lines that
-have more than ``long_line`` words in all, and the same backwards from each line. Whatever run of lines of more than
-``long_line`` words stands in a row in an earlier document as well is covered by such passages that both have, up to its
-first and last line, and nothing beyond it is; so it goes whole wherever the chunks are cut. Passages are compared by a
-128-bit cryptographic hash of their lines, as their texts overlap. Of at most two passages a line, a row each has the hash
-and the document only. Without ``passages`` only chunks are removed.
-
-Rows are grouped by the chunk's 128-bit hash and its text, which compares bytes: two texts of one hash are two groups (their documents
-are then found by the text rather than by the hash). A
-group that more than one document has is kept in the document with the smallest id and removed from all others. A repeat
+a chunk. All chunks are compared over all documents, but for rests of one line or fewer than ``min_words`` words in front of a long
+line or the end of the text.
+
+With ``passages`` (as in the query and the pipeline), every match is carried beyond its chunk, as passages are compared
+too: from each line on, the fewest lines that have more than ``long_line`` words in all, and the same backwards from each
+line. Whatever run of lines of more than ``long_line`` words stands in a row in an earlier document as well is covered by
+such passages that both have, up to its first and last line, and nothing beyond it is; so it goes whole wherever the
+chunks are cut. No chunk is left to passages: all are compared, with passages or without. Without them only chunks are removed.
+
+Chunks and passages are ranges of lines, and are compared in two steps. By hash: a row for each distinct range of a
+document has its 128-bit hash and the document; hashes that two documents have are the repeated ones. By bytes: ranges of
+repeated hashes, and no others, are shuffled with their bytes and grouped by both, and a document loses a range only if
+its bytes are those of an earlier document's. Which ranges those are is asked of a bit map of fixed size at most, which lets some
+others through but holds none back. A hash of one text stands for it from there on; where several texts have one hash,
+these texts themselves are joined. Overlapping passages repeat bytes: of a repeated text of lines of n words, about 2 * ``long_line`` / n times
+its size is shuffled.
+
+A group that more than one document has is kept in the document with the smallest id and removed from all others. A repeat
 inside of one document is removed on the spot, where both texts are at hand (a passage that overlaps the first one stays). Groups are combined before the shuffle, so
 a chunk that a third of all documents has costs one row for each task, and the joins have small rows on one side, which
 adaptive execution splits.
@@ -27,11 +34,13 @@ back as they are, whatever their names; an empty table gives no rows; texts of a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +49,10 @@ from tessera.llm.common import Scratch
 LEAST_ID = -(1 << 63)
 #: The column that dedup() adds.
 REPORT = "line_dedup_report"
+#: Bytes of ranges after which a batch of them is sent on.
+BATCH_BYTES = 8 << 20
+#: Bits of the map of repeated hashes at most, as a power of two (16 MB). A fuller map only lets more ranges through.
+MAP_BITS = 27
 
 
 @dataclass(frozen=True)
@@ -50,150 +63,184 @@ class Chunking:
     min_words: int = 12
     max_lines: int = 64
     passages: bool = False
-    #: Of a chunk's hash; fewer than 128 only make texts share one more often.
+    #: Of a range's hash; fewer than 128 only make texts share one more often.
     bits: int = 128
 
     def chunks(self, text: str) -> list[tuple[int, int, bool]]:
         """(first line, line after the last, whether it is compared), covering all lines in order."""
+        return self._cut(text.encode("utf-8", "surrogatepass").split(b"\n"), _words(text))
+
+    def _cut(self, lines: list[bytes], words: list[int]) -> list[tuple[int, int, bool]]:
         import xxhash
 
-        out, start, words, rolled = [], 0, 0, []
-        lines = text.split("\n")
+        out, start, inside, rolled, since, said = [], 0, 0, 0, 0, 0
+        hashes = [xxhash.xxh64_intdigest(line) for line in lines]
+        factor, leaving = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, self.window, 1 << 64)
 
         def close(end: int) -> None:
             if end > start:
-                out.append((start, end, end - start >= 2 and words >= self.min_words))
+                out.append((start, end, end - start >= 2 and inside >= self.min_words))
 
-        for k, line in enumerate(lines):
-            n = len(line.split())
-            rolled = [*rolled[1 - self.window :], xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))] if self.window > 1 else [xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))]
+        for k, n in enumerate(words):
+            rolled = rolled * factor + hashes[k]
+            if k >= self.window:
+                rolled -= hashes[k - self.window] * leaving
+            rolled &= 0xFFFFFFFFFFFFFFFF
             if n > self.long_line:
                 close(k)
                 out.append((k, k + 1, True))
-                start, words = k + 1, 0
+                start, inside, since, said = k + 1, 0, 0, 0
                 continue
-            words += n
-            h = 0
-            for x in rolled:
-                h = (h * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
-            if (h >> 17) % self.divisor == 0 or k + 1 - start >= self.max_lines:
+            inside, since, said = inside + n, since + 1, said + n
+            hit = (rolled >> 17) % self.divisor == 0
+            if (hit and since >= 2 and said >= self.min_words) or k + 1 - start >= self.max_lines:
                 close(k + 1)
-                start, words = k + 1, 0
-        close(len(lines))
+                start, inside = k + 1, 0
+            if hit:
+                since, said = 0, 0
+        close(len(words))
         return out
 
-    def compared(self, text: str) -> tuple[dict[str, tuple[int, int]], list[tuple[int, int]]]:
-        """Chunk text to the lines of its first chunk, and the line ranges that repeat an earlier chunk of this text."""
-        lines, first, again = text.split("\n"), {}, []
-        for a, b, is_compared in self.chunks(text):
-            if is_compared:
-                chunk = "\n".join(lines[a:b])
-                if chunk in first:
-                    again.append((a, b))
-                else:
-                    first[chunk] = (a, b)
-        return first, again
-
-    def windows(self, text: str) -> list[tuple[int, int, bytes]]:
-        """(first line, line after the last, hash) of the fewest lines of more than ``long_line`` words from each line on, and
+    def _windows(self, words: list[int]) -> list[tuple[int, int]]:
+        """(first line, line after the last) of the fewest lines of more than ``long_line`` words from each line on, and
         backwards from each line, in order."""
-        lines = text.split("\n")
-        until = [0]
-        for line in lines:
-            until.append(until[-1] + len(line.split()))
+        until = list(accumulate(words, initial=0))
         if until[-1] <= self.long_line:
             return []
         ranges, end = set(), 0
-        for a in range(len(lines)):
-            while end <= len(lines) and until[end] - until[a] <= self.long_line:
+        for a in range(len(words)):
+            while end <= len(words) and until[end] - until[a] <= self.long_line:
                 end += 1
-            if end > len(lines):
+            if end > len(words):
                 break
             ranges.add((a, end))
         start = 0
-        for b in range(1, len(lines) + 1):
+        for b in range(1, len(words) + 1):
             while until[b] - until[start + 1] > self.long_line:
                 start += 1
             if until[b] - until[start] > self.long_line:
                 ranges.add((start, b))
-        hashes = b"".join(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest() for line in lines)
-        return [(a, b, hashlib.blake2b(hashes[16 * a : 16 * b], digest_size=16).digest()) for a, b in sorted(ranges)]
-
-    def lost(self, text: str, elsewhere: set[int]) -> set[int]:
-        """The lines that go: those of chunks and passages whose hash (its first 64 bits) is in ``elsewhere``, and of repeats."""
-        first, again = self.compared(text)
-        drop = {k for a, b in again for k in range(a, b)}
-        if elsewhere:
-            drop.update(k for chunk, (a, b) in first.items() if _chunk_hash(chunk, self.bits)[0] in elsewhere or _other_hash(chunk) in elsewhere for k in range(a, b))
-        if self.passages:
-            had: dict[bytes, int] = {}
-            for a, b, h in self.windows(text):
-                if had.setdefault(h, b) <= a or (elsewhere and _halves(h)[0] in elsewhere):
+        return sorted(ranges)
+
+    def ranges(self, text: str) -> tuple[bytes, list[int], list[tuple[int, int]], list[tuple[int, int]]]:
+        """The text's bytes, where its lines start there, the compared chunks and the passages as (first line, line after the last)."""
+        data, words = text.encode("utf-8", "surrogatepass"), _words(text)
+        lines = data.split(b"\n")
+        starts = list(accumulate((len(line) + 1 for line in lines), initial=0))
+        chunks = [(a, b) for a, b, is_compared in self._cut(lines, words) if is_compared]
+        return data, starts, chunks, self._windows(words) if self.passages else []
+
+    def lost(self, text: str, hashes: set[bytes], texts: set[bytes]) -> set[int]:
+        """The lines that go: those of chunks and passages that ``hashes`` or ``texts`` name, and of repeats."""
+        import xxhash
+
+        data, starts, chunks, passages = self.ranges(text)
+        drop: set[int] = set()
+        for ranges in (chunks, passages):
+            had: dict[bytes, tuple[int, int]] = {}
+            for a, b in ranges:
+                part = data[starts[a] : starts[b] - 1]
+                digest = xxhash.xxh3_128_digest(part)
+                c, d = had.setdefault(digest, (a, b))
+                if c != a and data[starts[c] : starts[d] - 1] != part:
+                    c, d = had.setdefault(part, (a, b))
+                if (c != a and (ranges is chunks or d <= a)) or (hashes and _short(digest, self.bits) in hashes) or (texts and part in texts):
                     drop.update(range(a, b))
         return drop
 
 
-def _halves(h: bytes) -> tuple[int, int]:
-    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
-
-
-def _chunk_hash(chunk: str, bits: int = 128) -> tuple[int, int]:
-    import xxhash
+def _words(text: str) -> list[int]:
+    return [len(line.split()) for line in text.split("\n")]
 
-    h = xxhash.xxh3_128_intdigest(chunk.encode("utf-8", "surrogatepass")) >> (128 - bits) << (128 - bits)
-    return _halves(h.to_bytes(16, "big"))
 
-
-def _other_hash(chunk: str) -> int:
-    """Names a chunk of which another text shares the hash."""
-    return _halves(hashlib.blake2b(b"chunk" + chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest())[0]
+def _short(digest: bytes, bits: int) -> bytes:
+    return digest if bits == 128 else (int.from_bytes(digest, "big") >> (128 - bits) << (128 - bits)).to_bytes(16, "big")
 
 
 def _key(df: DataFrame, id_col: str):
     return F.coalesce(df[id_col].cast("long"), F.lit(LEAST_ID))
 
 
-def _rows(docs: DataFrame, how: Chunking, kind: str) -> DataFrame:
-    """A row for each distinct compared chunk of a document, or (``kind`` passages) for each distinct passage. A chunk of
-    which passages cover all lines is left to them. With ``kind`` texts, chunks have their text."""
+def _rows(docs: DataFrame, how: Chunking, repeated=None, texts: bool = False) -> DataFrame:
+    """A row for each distinct compared range of a document: doc, its hash and, with ``texts``, its bytes; of those in the
+    map ``repeated`` (a broadcast) only, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "h1", "h2", *(["text", "other"] if kind == "texts" else [])]
+        import xxhash
+
+        ids, digests, parts = [], [], []
+
+        def sent() -> pa.RecordBatch:
+            h1, h2 = np.frombuffer(b"".join(digests), ">i8").astype("i8").reshape(-1, 2).T
+            columns = [pa.array(ids, pa.int64()), pa.array(h1), pa.array(h2), *([pa.array(parts, pa.binary())] if texts else [])]
+            if repeated is not None:
+                kept = pa.array(_in_map(repeated.value, h1) & _in_map(repeated.value, h2))
+                columns = [c.filter(kept) for c in columns]
+            ids.clear(), digests.clear(), parts.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "h1", "h2", *(["text"] if texts else [])])
+
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if kind == "passages":
-                    found = ((doc, *_halves(h)) for h in {h for _, _, h in how.windows(text.as_py())})
-                else:
-                    found = ((doc, *_chunk_hash(chunk, how.bits), *([chunk, _other_hash(chunk)] if kind == "texts" else [])) for chunk in how.compared(text.as_py())[0] if not how.passages or len(chunk.split()) <= how.long_line)
-                for row in found:
-                    for column, value in zip(out, row, strict=False):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names)
+                data, starts, chunks, passages = how.ranges(text.as_py())
+                had: dict[bytes, tuple[int, int]] = {}
+                for a, b in (*chunks, *passages):
+                    part = data[starts[a] : starts[b] - 1]
+                    digest = xxhash.xxh3_128_digest(part)
+                    if digest in had and (not texts or data[slice(*had[digest])] == part):
+                        continue
+                    had.setdefault(digest, (starts[a], starts[b] - 1))
+                    ids.append(doc)
+                    digests.append(_short(digest, how.bits))
+                    if texts:
+                        parts.append(part)
+                        size += len(part)
+                        if size > BATCH_BYTES:
+                            yield sent()
+                            size = 0
+            yield sent()
 
     rows = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc", "text")
-    return rows.mapInArrow(run, "doc long, h1 long, h2 long" + ", text string, other long" * (kind == "texts"))
+    return rows.mapInArrow(run, "doc long, h1 long, h2 long" + ", text binary" * texts)
+
+
+def _in_map(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h & (len(words) * 64 - 1)
+    return (words[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
+def _map(repeated: DataFrame) -> np.ndarray:
+    """Bits for the hashes of ``repeated``, two for each, as 64-bit words."""
+    size = 1 << max(16, min(MAP_BITS, (8 * repeated.count()).bit_length()))
+    bits = repeated.select(F.explode(F.array(*[F.col(h).bitwiseAND(F.lit(size - 1)) for h in ("h1", "h2")])).alias("bit"))
+    found = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(size // 64, "i8")
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words
+
+
+def groups(rows: DataFrame, how: Chunking, repeated) -> DataFrame:
+    """(h1, h2, text, first, last): the ranges in the map ``repeated`` by hash and bytes, with the least and the greatest document that has them."""
+    return _rows(rows, how, repeated, texts=True).groupBy("h1", "h2", "text").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
 
 
 def removals(docs: DataFrame, how: Chunking | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, hashes): what each document loses to a document with a smaller id."""
-    how = how or Chunking()
+    """(doc, hashes, texts): what each document loses to a document with a smaller id; ``texts`` where a hash has several."""
+    how, scratch = how or Chunking(), Scratch(docs.sparkSession)
     rows = docs.select(_key(docs, id_col).alias("doc"), docs[text_col].cast("string").alias("text"))
-    groups = _rows(rows, how, "texts").groupBy("h1", "h2", "text", "other").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    hashes = groups.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
-    repeated = Scratch(docs.sparkSession).write(hashes.filter("first <> last").select("h1", "h2", "first", "texts"), "repeated")
-    found = _rows(rows, how, "chunks").join(repeated.filter("texts = 1"), ["h1", "h2"]).filter("doc <> first").select("doc", "h1")
+    ends = _rows(rows, how).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    repeated = docs.sparkSession.sparkContext.broadcast(_map(scratch.write(ends.filter("first <> last").select("h1", "h2"), "repeated")))
+    hashes = groups(rows, how, repeated).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
+    compared = scratch.write(hashes.filter("first <> last").select("h1", "h2", "first", "texts"), "compared")
+    found = _rows(rows, how, repeated).join(compared.filter("texts = 1"), ["h1", "h2"]).filter("doc <> first")
+    lost = found.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("hashes"))
     # A hash of several texts says nothing of who has which: there, the texts themselves are joined.
-    shared = repeated.filter("texts > 1").select("h1", "h2")
-    if not shared.isEmpty():
-        apart = groups.join(shared, ["h1", "h2"], "left_semi").filter("first <> last").select("h1", "h2", "text", "first")
-        found = found.union(_rows(rows, how, "texts").join(apart, ["h1", "h2", "text"]).filter("doc <> first").select("doc", F.col("other").alias("h1")))
-    if how.passages:
-        passages = _rows(rows, how, "passages")
-        firsts = passages.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("h1", "h2", "first")
-        found = found.union(_rows(rows, how, "passages").join(firsts, ["h1", "h2"]).filter("doc <> first").select("doc", "h1"))
-    return found.groupBy("doc").agg(F.collect_set("h1").alias("hashes"))
+    shared = compared.filter("texts > 1").select("h1", "h2")
+    if shared.isEmpty():
+        return lost.withColumn("texts", F.lit(None).cast("array<binary>"))
+    apart = groups(rows, how, repeated).join(shared, ["h1", "h2"], "left_semi").filter("first <> last").select("h1", "h2", "text", "first")
+    told = _rows(rows, how, repeated, texts=True).join(apart, ["h1", "h2", "text"]).filter("doc <> first")
+    return lost.join(told.groupBy("doc").agg(F.collect_set("text").alias("texts")), "doc", "full")
 
 
 def dedup(docs: DataFrame, how: Chunking | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,22 +249,27 @@ def dedup(docs: DataFrame, how: Chunking | None = None, id_col: str = "doc_id",
     lost = removals(docs, how, id_col, text_col)
     kept = [c for c in docs.columns if c != text_col]
     carried = docs.select(_key(docs, id_col).alias("doc"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in kept]).alias("row"))
-    joined = carried.join(lost, "doc", "left").select("text", "hashes", "row")
+    joined = carried.join(lost, "doc", "left").select("text", "hashes", "texts", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, total, gone = [], [], []
-            for text, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kept_texts, total, gone, at = [], [], [], 0
+            pairs = batch.column(1).flatten()
+            names = np.stack([pairs.field(h).to_numpy() for h in ("h1", "h2")], 1).astype(">i8").tobytes()
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist()
+            for text, n, texts in zip(batch.column(0).to_pylist(), counts, batch.column(2).to_pylist(), strict=True):
+                hashes = {names[16 * k : 16 * k + 16] for k in range(at, at + n)}
+                at += n
                 if not text:
-                    texts.append(text)
+                    kept_texts.append(text)
                     total.append(0)
                     gone.append(0)
                     continue
-                lines, drop = text.split("\n"), how.lost(text, set(hashes or ()))
-                texts.append("\n".join(line for k, line in enumerate(lines) if k not in drop) if drop else text)
+                lines, drop = text.split("\n"), how.lost(text, hashes, set(texts or ()))
+                kept_texts.append("\n".join(line for k, line in enumerate(lines) if k not in drop) if drop else text)
                 total.append(len(lines))
                 gone.append(len(drop))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(gone, pa.int32()), batch.column(2)], names=["text", "n_lines", "n_lines_removed", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept_texts, pa.string()), pa.array(total, pa.int32()), pa.array(gone, pa.int32()), batch.column(3)], names=["text", "n_lines", "n_lines_removed", "row"])
 
     row_type = joined.schema["row"].dataType.simpleString()
     done = joined.mapInArrow(run, f"text string, n_lines int, n_lines_removed int, row {row_type}")

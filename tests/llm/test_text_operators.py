@@ -182,6 +182,57 @@ def test_chunks_that_share_a_hash_are_told_apart_by_text(spark):
     assert rows(128) != sorted(docs)
 
 
+def test_repeated_chunks_and_passages_are_compared_by_bytes(spark):
+    line = lambda c, k: " ".join(f"{c}{k}x{w}" for w in range(9))
+    run = [line("p", k) for k in range(20)]
+    docs = [(k, "\n".join([line("a", k), *run, line("z", k)])) for k in range(3)]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    for how in (line_dedup.Chunking(), line_dedup.Chunking(passages=True)):
+        ends = line_dedup._rows(df, how).groupBy("h1", "h2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
+        had = spark.sparkContext.broadcast(line_dedup._map(ends))
+        found = {bytes(r["text"]).decode() for r in line_dedup.groups(df, how, had).filter("first <> last").collect()}
+        inside = [(a, b) for a, b, compared in how.chunks(docs[0][1]) if compared and a > 0 and b < 22]
+        lines = docs[0][1].split("\n")
+        whole = {"\n".join(lines[a:b]) for a, b in inside}
+        assert whole <= found
+        assert any(len(x.split()) > how.long_line for x in whole)
+        if how.passages:
+            assert {"\n".join(run[k : k + 6]) for k in range(15)} <= found
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_passages_that_share_a_hash_are_told_apart_by_text(spark, bits):
+    rng = random.Random(37)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    docs = []
+    for k in range(30):
+        lines = [line(rng.randint(1, 60)) for _ in range(rng.randint(2, 9))]
+        if k % 2:
+            theirs = docs[rng.randrange(len(docs))][1].split("\n")
+            at = rng.randint(0, len(lines))
+            lines[at:at] = theirs[rng.randrange(len(theirs)) :]
+        docs.append((k, "\n".join(lines)))
+    docs += [(40, docs[5][1]), (None, docs[3][1]), (7, docs[8][1]), (41, ""), (42, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda n: sorted(tuple(map(str, r)) for r in line_dedup.dedup(df, line_dedup.Chunking(passages=True, bits=n)).select("doc_id", "text", f"{line_dedup.REPORT}.n_lines_removed").collect())
+    exact = rows(128)
+    assert rows(bits) == exact
+    assert sum(int(r[2]) for r in exact) > 20
+
+
+def test_all_lines_but_short_rests_are_in_compared_chunks():
+    rng = random.Random(41)
+    for how in (line_dedup.Chunking(), line_dedup.Chunking(window=3)):
+        for _ in range(30):
+            words = [rng.choice([0, 1, 3, 8, 20, 70]) for _ in range(rng.randint(1, 150))]
+            lines = [" ".join(f"w{rng.randrange(99)}" for _ in range(n)) for n in words]
+            cut = how.chunks("\n".join(lines))
+            assert [k for a, b, _ in cut for k in range(a, b)] == list(range(len(lines)))
+            for a, b, compared in cut:
+                rest = b == len(lines) or words[b] > how.long_line or b - a == how.max_lines
+                assert compared or (rest and (b - a < 2 or sum(words[a:b]) < how.min_words))
+
+
 # language and toxicity
 
 
