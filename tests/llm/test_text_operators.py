@@ -5,6 +5,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,44 @@ def test_words_merge_as_the_tokenizer_merges_them():
         assert np.frombuffer(packing.encode(text, tokenizer, words), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_ordinary_character_is_split_as_the_tokenizer_splits_it():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    words = packing.WordTokens(tokenizer, *packing.ranks(tokenizer_path()))
+    ordinary = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if packing._PLAIN.fullmatch(c)]
+    texts = [t for c in ordinary for t in (c, f"a{c}b", f" {c}{c} ", f"1{c}2 é{c}", f"x{c}'s {c}'ll", f"Word.{c}, {c}!_")]
+    found = packing.encode_all(pa.array(texts), tokenizer, words)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_texts_together_give_the_ids_of_each(monkeypatch, together):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(packing, "_TOGETHER", together)
+    texts = ["", "  \n", " a  b ", *(t or "" for t in TEXTS), "", "İ", "last word"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for table in (packing.ranks(tokenizer_path()), (None, None)):
+        found = packing.encode_all(pa.array([*texts, "not read"]).slice(0, len(texts)), tokenizer, packing.WordTokens(tokenizer, *table))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == want
+    assert list(packing.encode_all(pa.array([], pa.string()), tokenizer, packing.WordTokens(tokenizer, None, None))) == []
+
+
+def test_a_word_is_merged_once_for_texts_together():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    words, merged = packing.WordTokens(tokenizer, *packing.ranks(tokenizer_path()), 10), []
+    merger = words.merger
+    words.merger = type("Counting", (), {"encode_single_piece": lambda self, raw: merged.append(raw) or merger.encode_single_piece(raw)})()
+    text = " ".join(["the", *(a + b for a in "bcdfg" for b in ("ara", "ele", "oro", "unu"))] * 50)
+    ids = packing.encode(text, tokenizer, words)
+    assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(merged) == len(set(merged)) == 21
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4095, 4096, 4097, 10000])
 def test_lengths(n):
     found = packing.lengths(n, 4096)
